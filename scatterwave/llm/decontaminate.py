@@ -126,9 +126,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Exact check: multiplicities of shared shingles. Both sides have len - 4 shingles (one at least), so the sum of
     # the larger multiplicities is twice that less the sum of the smaller.
     mine = _counts(shingles, keys, "a").withColumnsRenamed({"doc_id": "d", "t": "tt", "len": "l", "start": "s"})
-    theirs = _counts(item_shingles, ["item_id", "len"], "b").withColumnsRenamed({"item_id": "i", "len": "il"})
+    theirs = _counts(item_shingles, ["item_id", "len"], "b").withColumnsRenamed({"item_id": "i", "len": "il", "h": "ih"})
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("tt")) & (F.col("len") == F.col("l")) & (F.col("start") == F.col("s"))
-    shared = pairs.join(mine, same).join(broadcast_if_small(theirs, n_shingles, 500_000), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("len") == F.col("il")) & (mine["h"] == theirs["h"]))
+    shared = pairs.join(mine, same).join(broadcast_if_small(theirs, n_shingles, 500_000), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("len") == F.col("il")) & (F.col("h") == F.col("ih")))
     common = shared.groupBy("doc_id", "t", "len", "start", "item_id").agg(F.sum(F.least("a", "b")).alias("c"))
     total = 2 * F.greatest(F.col("len") - SHINGLE + 1, F.lit(1))
     scored = common.withColumn("similarity", F.col("c") / (total - F.col("c"))).filter(F.col("similarity") >= SIMILARITY)

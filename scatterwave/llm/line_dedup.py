@@ -99,14 +99,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-e AS (SELECT doc_id, unnest(ls) AS raw, unnest(range(len(ls))) AS at FROM d),
-l AS (SELECT doc_id, at, lower(trim(translate(raw, chr(9) || chr(13), '  '))) AS x FROM e),
-f AS (SELECT *, lead(x) OVER o AS x2, lead(at) OVER o AS at2, len(string_split_regex(x, ' +')) >= {LONG_LINE} AS long FROM l WHERE x <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY at)),
-r AS (SELECT doc_id, at AS first, at2 AS last, x || chr(10) || x2 AS w FROM f WHERE x2 IS NOT NULL
-      UNION ALL SELECT doc_id, at, at, x FROM f WHERE long),
+e AS (SELECT doc_id, unnest(ls) AS raw, unnest(range(len(ls))) AS ln FROM d),
+l AS (SELECT doc_id, ln, lower(trim(translate(raw, chr(9) || chr(13), '  '))) AS x FROM e),
+f AS (SELECT *, lead(x) OVER o AS x2, lead(ln) OVER o AS ln2, len(string_split_regex(x, ' +')) >= {LONG_LINE} AS long FROM l WHERE x <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY ln)),
+r AS (SELECT doc_id, ln AS first, ln2 AS last, x || chr(10) || x2 AS w FROM f WHERE x2 IS NOT NULL
+      UNION ALL SELECT doc_id, ln, ln, x FROM f WHERE long),
 s AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, first) AS nth FROM r),
-g AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS at FROM s WHERE nth > 1),
-k AS (SELECT e.doc_id, count(*) AS n_lines, count(g.at) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY e.at) FILTER (g.at IS NULL), '') AS clean
-      FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.at = g.at GROUP BY e.doc_id)
+g AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS ln FROM s WHERE nth > 1),
+k AS (SELECT e.doc_id, count(*) AS n_lines, count(g.ln) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY e.ln) FILTER (g.ln IS NULL), '') AS clean
+      FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.ln = g.ln GROUP BY e.doc_id)
 SELECT doc_id, n_lines, n_removed, sha256(clean) AS clean_sha256 FROM k
 """
