@@ -23,6 +23,8 @@ RADIUS = 19
 #: Five blocks: two fingerprints within 19 bits are within 3 bits in at least one of them.
 BLOCKS = (13, 13, 13, 13, 12)
 _BLOCK_RADIUS = RADIUS // len(BLOCKS)
+#: Shingles of a benchmark that are sent to every worker; a larger benchmark is joined by shuffling hashes.
+BROADCAST_SHINGLES = 500_000
 _LANES = 16  # bits of a counter; four counters share a long
 
 
@@ -38,7 +40,7 @@ def shingle_at(w: Column, i: Column, size: int = SHINGLE) -> Column:
 
 def _positions(rows: DataFrame, keep: list[str]) -> DataFrame:
     """One row per shingle: ``keep, pos, h``. Built of codegen operators: the words are exploded, never copied."""
-    exploded = rows.select(*keep, "w", F.posexplode("w").alias("pos", "_")).filter((F.col("pos") <= F.size("w") - SHINGLE) | (F.col("pos") == 0))
+    exploded = rows.select(*dict.fromkeys([*keep, "w"]), F.posexplode("w").alias("pos", "_")).filter((F.col("pos") <= F.size("w") - SHINGLE) | (F.col("pos") == 0))
     return exploded.select(*keep, F.col("pos"), shingle_at(F.col("w"), F.col("pos")).alias("h"))
 
 
@@ -104,19 +106,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = _simhash(item_shingles, ["item_id", "len"])
     anchors = item_shingles.select("h", F.col("pos").alias("at"), "len").distinct()
 
-    # Texts are looked at once for each distinct (doc_id, text); the text's hash stands for it until windows are cut out.
-    rows = docs.select("doc_id", whole_text().alias("text")).withColumn("t", F.xxhash64("text"))
-    found = _positions(rows.select("doc_id", "t", F.size(words(F.col("text"))).alias("n"), words(F.col("text")).alias("w")), ["doc_id", "t", "n"])
-    laid = found.join(broadcast_if_small(anchors, n_shingles, 500_000), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len")))
-    windows = laid.filter("n >= len").select("doc_id", "t", "len", start.alias("start")).distinct()
-    # All windows of a text travel as one array, so its words are carried once.
-    grouped = cut(windows.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "len")).alias("windows")))
-
-    touched = rows.distinct().join(grouped.withColumnsRenamed({"doc_id": "d", "t": "tt"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("tt"))).select("doc_id", "t", words(F.col("text")).alias("w"), F.explode("windows").alias("x"))
-    cutout = touched.select("doc_id", "t", F.col("x.len").alias("len"), F.col("x.start").alias("start"), F.slice("w", F.col("x.start") + 1, F.col("x.len")).alias("w"))
+    # A text's hash tells apart rows that share an id; rows alike in both give the same windows, which are made distinct.
     keys = ["doc_id", "t", "len", "start"]
-    shingles = cut(_positions(cutout, keys))
+    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("t"), words(whole_text()).alias("w")).withColumn("n", F.size("w"))
+    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len"))).alias("start")
+    cut_out = F.slice("w", F.col("start") + 1, F.col("len")).alias("w")
+    if n_shingles <= BROADCAST_SHINGLES:
+        # The words are still at hand where a document's shingle meets the benchmark's, so windows alone are shuffled.
+        laid = _positions(rows, ["doc_id", "t", "n", "w"]).join(F.broadcast(anchors), "h").filter("n >= len")
+        windows = laid.select("doc_id", "t", "len", start, "w").select(*keys, cut_out).distinct()
+    else:
+        laid = _positions(rows, ["doc_id", "t", "n"]).join(anchors, "h").filter("n >= len")
+        places = cut(laid.select("doc_id", "t", "len", start).distinct().groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "len")).alias("places")))
+        places = places.withColumnsRenamed({"doc_id": "d", "t": "tt"})
+        touched = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("tt"))).select("doc_id", "t", "w", F.explode("places").alias("x"))
+        windows = touched.select("doc_id", "t", F.col("x.len").alias("len"), F.col("x.start").alias("start"), "w").select(*keys, cut_out).distinct()
+    shingles = cut(_positions(windows, keys))
 
     fps = _simhash(shingles, keys)
     blocks = fps.select(*keys, "fp", F.posexplode(F.array(*_block_values(F.col("fp")))).alias("block", "value"))
@@ -128,7 +133,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     mine = _counts(shingles, keys, "a").withColumnsRenamed({"doc_id": "d", "t": "tt", "len": "l", "start": "s"})
     theirs = _counts(item_shingles, ["item_id", "len"], "b").withColumnsRenamed({"item_id": "i", "len": "il", "h": "ih"})
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("tt")) & (F.col("len") == F.col("l")) & (F.col("start") == F.col("s"))
-    shared = pairs.join(mine, same).join(broadcast_if_small(theirs, n_shingles, 500_000), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("len") == F.col("il")) & (F.col("h") == F.col("ih")))
+    shared = pairs.join(mine, same).join(broadcast_if_small(theirs, n_shingles, BROADCAST_SHINGLES), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("len") == F.col("il")) & (F.col("h") == F.col("ih")))
     common = shared.groupBy("doc_id", "t", "len", "start", "item_id").agg(F.sum(F.least("a", "b")).alias("c"))
     total = 2 * F.greatest(F.col("len") - SHINGLE + 1, F.lit(1))
     scored = common.withColumn("similarity", F.col("c") / (total - F.col("c"))).filter(F.col("similarity") >= SIMILARITY)
