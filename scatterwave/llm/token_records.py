@@ -8,9 +8,11 @@ of data that holds checksums stay sound. CRC-32 is zlib's.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ MAGIC = b"SWR1"
 #: Fixed value of the checksum mask.
 MASK_DELTA = 0xA282EAD8
 END_ID = 1
-#: Distinct space-separated pieces whose ids a worker remembers.
+#: Distinct pieces in a generation of those that a worker remembers.
 CACHE_PIECES = 300_000
 
 
@@ -34,31 +36,58 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
+_STOP = re.compile("(?<=[a-zß-öø-ÿ])([.,]) ")
+
+
 class Encoder:
     """Ids of whole texts as packed bytes.
 
-    The tokenizer's pattern never matches across a space or line feed, and neither its normaliser nor its special
-    strings reach across one; so a text's ids are those of its pieces, one after the other. Each distinct piece is
-    encoded by the library once and remembered.
+    The tokenizer's pattern never matches across a space or line feed, nor across the end of a run of letters, and
+    neither its normaliser nor its special strings reach across a space; so a text's ids are those of its pieces, one
+    after the other. Its normaliser lower-cases: in Latin-1 texts, where no composition takes place, that is done
+    first, so that more pieces are alike. Each distinct piece is encoded by the library and remembered; the pieces
+    are held in two generations, of which the older is forgotten.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {"": b""}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.young, self.old = {}, {}
+
+    def pieces(self, text: str) -> list[str]:
+        if "<|" not in text:  # special strings are found before anything is lower-cased
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return _STOP.sub(r" \1 ", text.replace("\n", " ")).split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = {"": b""}
-            new = list(set().union(*split).difference(self.known))
-        for i in range(0, len(new), 4096):
-            own = new[i : i + 4096]
-            for piece, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        out = []
+        for i in range(0, len(texts), 64):
+            split = [self.pieces(t) for t in texts[i : i + 64]]
+            if len(self.young) > CACHE_PIECES:
+                self.young, self.old = {}, self.young
+            missing = set().union(*split).difference(self.young)
+            new = []
+            for piece in missing:
+                if (ids := self.old.get(piece)) is None:
+                    new.append(piece)
+                else:
+                    self.young[piece] = ids
+            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                self.young[piece] = np.array(e.ids, self.dtype).tobytes()
+            get = self.young.__getitem__
+            out += [b"".join(map(get, pieces)) for pieces in split]
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, dtype: str) -> Encoder:
+    """A worker process keeps its encoder, and what it remembers, from task to task."""
+    return Encoder(path, dtype)
 
 
 def _filesystem(uri: str):
@@ -91,7 +120,7 @@ def write_records(docs: DataFrame, tokenizer: str, out: str, partitions: int | N
 
     def run(batches):
         filesystem, root = _filesystem(out)
-        encode, end = Encoder(tokenizer, dtype), np.array([END_ID], dtype).tobytes()
+        encode, end = encoder(tokenizer, dtype), np.array([END_ID], dtype).tobytes()
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         name, index, at, tokens, first = f"{root}/shard-{part:06d}", [], 8, 0, None
         width = np.dtype(dtype).itemsize
