@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def held_out(doc_id: Column) -> Column:
@@ -18,13 +20,13 @@ def whole_text(column: str = "text") -> Column:
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(columns: dict of lists) -> dict of lists or arrays`` over each Arrow batch."""
+    """``fn(columns: dict of lists) -> dict of lists or arrays`` over each Arrow batch; columns take the schema's types."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                out = fn(batch.to_pydict())
-                yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()})
+                yield pa.RecordBatch.from_pydict(fn(batch.to_pydict()), schema=kinds)
 
     return df.mapInArrow(run, schema)
 

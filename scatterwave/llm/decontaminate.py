@@ -38,10 +38,10 @@ def shingle_at(w: Column, i: Column, size: int = SHINGLE) -> Column:
     return F.xxhash64(*[F.get(w, i + k) for k in range(size)])
 
 
-def _positions(rows: DataFrame, keep: list[str]) -> DataFrame:
+def _positions(rows: DataFrame, keep: list[str], size: int = SHINGLE) -> DataFrame:
     """One row per shingle: ``keep, pos, h``. Built of codegen operators: the words are exploded, never copied."""
-    exploded = rows.select(*dict.fromkeys([*keep, "w"]), F.posexplode("w").alias("pos", "_")).filter((F.col("pos") <= F.size("w") - SHINGLE) | (F.col("pos") == 0))
-    return exploded.select(*keep, F.col("pos"), shingle_at(F.col("w"), F.col("pos")).alias("h"))
+    exploded = rows.select(*dict.fromkeys([*keep, "w"]), F.posexplode("w").alias("pos", "_")).filter((F.col("pos") <= F.size("w") - size) | (F.col("pos") == 0))
+    return exploded.select(*keep, F.col("pos"), shingle_at(F.col("w"), F.col("pos"), size).alias("h"))
 
 
 def _simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,7 +94,7 @@ def _counts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, similarity``: the best window of every contaminated document and item, one row a pair.
 
-    ``start`` is in words; ties go to the earliest. A similarity above zero needs a shared shingle, so windows are laid
+    ``start`` is in words; of windows as good as each other, the earliest that is laid. A similarity above zero needs a shared shingle, so windows are laid
     wherever a document's shingle is one of the benchmark's, at the start which that shingle has in an item of that
     length; each is then fingerprinted, found by blocks, and verified. Rows that repeat a doc_id count as one document
     with several texts, each looked at on its own. Null and empty texts match nothing; empty tables give no rows.
@@ -108,15 +108,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # A text's hash tells apart rows that share an id; rows alike in both give the same windows, which are made distinct.
     keys = ["doc_id", "t", "len", "start"]
+    # Items under five words are one shorter shingle each, of at most four lengths; documents show those as well.
+    short = [r["len"] for r in items.filter(F.col("len") < SHINGLE).select("len").distinct().collect()]
+
+    def shown(keep: list[str]) -> DataFrame:
+        out = _positions(rows, keep)
+        for size in sorted(short):
+            out = out.unionByName(_positions(rows, keep, size))
+        return out
+
     rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("t"), words(whole_text()).alias("w")).withColumn("n", F.size("w"))
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len"))).alias("start")
     cut_out = F.slice("w", F.col("start") + 1, F.col("len")).alias("w")
     if n_shingles <= BROADCAST_SHINGLES:
         # The words are still at hand where a document's shingle meets the benchmark's, so windows alone are shuffled.
-        laid = _positions(rows, ["doc_id", "t", "n", "w"]).join(F.broadcast(anchors), "h").filter("n >= len")
+        laid = shown(["doc_id", "t", "n", "w"]).join(F.broadcast(anchors), "h").filter("n >= len")
         windows = laid.select("doc_id", "t", "len", start, "w").select(*keys, cut_out).distinct()
     else:
-        laid = _positions(rows, ["doc_id", "t", "n"]).join(anchors, "h").filter("n >= len")
+        laid = shown(["doc_id", "t", "n"]).join(anchors, "h").filter("n >= len")
         places = cut(laid.select("doc_id", "t", "len", start).distinct().groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "len")).alias("places")))
         places = places.withColumnsRenamed({"doc_id": "d", "t": "tt"})
         touched = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("tt"))).select("doc_id", "t", "w", F.explode("places").alias("x"))

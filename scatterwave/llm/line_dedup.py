@@ -2,7 +2,7 @@
 
 Lines are compared lower-cased and trimmed; blank lines are neither compared nor removed. A run is ``WINDOW`` or more
 consecutive lines, or one line of at least ``LONG_LINE`` words. A run is repeated if the same lines stand, in the same
-order, earlier: in a document of smaller doc_id, or above in the same one. Repeated runs are removed at their full
+order, earlier: in a document of smaller doc_id (a null id is the smallest), or above in the same one. Repeated runs are removed at their full
 length, and the first occurrence stays.
 """
 
