@@ -122,15 +122,15 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         at = [np.flatnonzero(c).astype(np.int16) for _, _, c in rows]
         import pyarrow as pa
 
-        return {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()), "at": pa.array(at, pa.list_(pa.int16())), "n": pa.array([c[a].astype(np.int32) for a, (_, _, c) in zip(at, rows)], pa.list_(pa.int32()))}
+        return {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()), "at": [a.tobytes() for a in at], "n": [c[a].astype(np.int32).tobytes() for a, (_, _, c) in zip(at, rows)]}
 
-    got = arrow_map(sample.select("doc_id", "lang", "text"), vectors, "doc_id long, lang string, at array<smallint>, n array<int>").toPandas()
+    got = arrow_map(sample.select("doc_id", "lang", "text"), vectors, "doc_id long, lang string, at binary, n binary").toPandas()
     names, centers, limits = [], [np.zeros((0, SLOTS), np.float32)], []
     for lang, part in got.groupby("lang", sort=True):
         part = part.sort_values("doc_id")
         m = np.zeros((len(part), SLOTS), np.float32)
         for i, (at, value) in enumerate(zip(part["at"], part["n"])):
-            m[i, np.asarray(at, int)] = value
+            m[i, np.frombuffer(at, np.int16)] = np.frombuffer(value, np.int32)
         c, near = cluster(np.stack([vector(row, idf) for row in m]))
         names += [lang] * len(c)
         centers.append(c.astype(np.float32))
