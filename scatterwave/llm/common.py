@@ -19,6 +19,16 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, an aggregate by ``keys`` (long or string), with values alike but of unknown partitioning.
+
+    A join reads an aggregate by its keys in place, and adaptive execution then can't split the other side's frequent
+    keys: it does so only where both sides come straight from a shuffle made for the join.
+    """
+    kinds = dict(df.dtypes)
+    return df.withColumns({k: F.concat(F.col(k), F.lit("")) if kinds[k] == "string" else F.bitwise_not(F.bitwise_not(F.col(k))) for k in keys})
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(columns: dict of lists) -> dict of lists or arrays`` over each Arrow batch; columns take the schema's types."""
     kinds = to_arrow_schema(StructType.fromDDL(schema))

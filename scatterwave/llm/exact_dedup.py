@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scatterwave.llm.common import whole_text
+from scatterwave.llm.common import dealt_anew, whole_text
 from scatterwave.runtime import ship
 
 #: Slots for each of the two hash functions and row, and the most slots of the filter (a bit each: 64 MiB).
@@ -70,13 +70,14 @@ def decide(docs: DataFrame, carry: list[str]) -> DataFrame:
     own = [*dict.fromkeys(["doc_id", *carry])]
     unique = marked.filter(~F.col("__maybe")).select(*own, "__sha", F.col("doc_id").alias("__keep_id"), F.lit(1).cast("long").alias("__group_size"), F.lit(True).alias("__kept"))
     rest = marked.filter("__maybe").select(*own, "__sha")
-    # Counted map-side, so a group of any size is one row for each task; the join back is a plain one that Spark may split.
+    # Counted map-side, so a group of any size is one row for each task; the join back is one that Spark can split.
     groups = marked.filter("__maybe").groupBy("__sha").agg(F.max("doc_id").alias("__keep_id"), F.count("*").alias("__group_size"))
-    alone = rest.join(groups, "__sha")
-    # Only the rows whose id equals the kept one compete, so this window never holds a whole group of copies.
+    alone = rest.join(dealt_anew(groups, "__sha"), "__sha")
+    # Only the rows whose id equals the kept one compete, so this window never holds a whole group of copies. They are
+    # dealt out anew: a window right above the join would forbid to split it.
     winner = F.col("doc_id").eqNullSafe(F.col("__keep_id"))
     first = F.row_number().over(Window.partitionBy("__sha", "doc_id").orderBy("doc_id"))
-    won = alone.filter(winner).withColumn("__kept", first == 1)
+    won = alone.filter(winner).repartition("__sha", "doc_id").withColumn("__kept", first == 1)
     lost = alone.filter(~winner).withColumn("__kept", F.lit(False))
     out = [*own, "__sha", "__keep_id", "__group_size", "__kept"]
     return unique.select(*out).unionByName(won.select(*out)).unionByName(lost.select(*out))
