@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scatterwave.llm.common import whole_text
+from scatterwave.llm.common import dealt_anew, whole_text
 from scatterwave.runtime import cut
 
 WINDOW = 2
@@ -43,7 +43,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     Fingerprints travel with the lines around them. Those that occur once in the corpus end there; the rest are
     extended to both sides into every run of WINDOW lines that chose them, and each such run is held against the
     earliest one of the same content. Work is linear in the fingerprints: an occurrence meets the first, never
-    all others. Frequent lines are counted map-side and joined by plain equi-joins that Spark may split.
+    all others. Frequent lines are counted map-side and joined by equi-joins that Spark can split.
     """
     texts = docs.select("doc_id", whole_text().alias("text")).filter(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("t"), _lines(F.col("text")).alias("lines"))
     chosen = texts.select("doc_id", "t", "lines", F.explode(_minima(F.col("lines"))).alias("p"))
@@ -51,7 +51,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     # A print carries 2 WINDOW - 1 lines at most.
     prints = cut(chosen.select("doc_id", "t", "p", left.alias("from"), F.slice("lines", left + 1, right - left + 1).alias("around"), F.get("lines", F.col("p"))["h"].alias("f")).distinct())
     often = prints.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
-    kept = prints.join(often, "f", "left_semi")
+    kept = prints.join(dealt_anew(often, "f"), "f", "left_semi")
 
     mid = F.col("p") - F.col("from")
     size = F.size("around")
@@ -67,7 +67,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     spans = cut(kept.select("doc_id", "t", F.explode(runs).alias("r")).select("doc_id", "t", "r.*").distinct())
     place = F.struct(F.col("doc_id").alias("d"), F.col("t").alias("tt"), F.col("first").alias("at"))
     earliest = spans.groupBy("k", "w").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    later = spans.join(earliest, ["k", "w"]).filter(~place.eqNullSafe(F.col("head"))).select("doc_id", "t", "first", "last").distinct()
+    later = spans.join(dealt_anew(earliest, "w"), ["k", "w"]).filter(~place.eqNullSafe(F.col("head"))).select("doc_id", "t", "first", "last").distinct()
     # Adjoining and overlapping ranges of a text become one; a text's own lines bound this window.
     order = Window.partitionBy("doc_id", "t").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
