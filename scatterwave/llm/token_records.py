@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,10 @@ MASK_DELTA = 0xA282EAD8
 END_ID = 1
 #: Distinct pieces in a generation of those that a worker remembers.
 CACHE_PIECES = 300_000
+#: Characters that are encoded at a time, unless one text has more.
+CHUNK_CHARS = 8_000_000
+#: New pieces that are encoded as one text, and the word that parts them.
+GROUP, MARK = 500, "~"
 
 
 def masked(data: bytes) -> int:
@@ -53,35 +59,69 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        ids = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = ids[0] if len(ids) == 1 else -1
         self.young, self.old = {}, {}
 
-    def pieces(self, text: str) -> list[str]:
+    def prepared(self, text: str) -> str:
+        """The text with a space wherever it may be cut."""
         if "<|" not in text:  # special strings are found before anything is lower-cased
             try:
                 text.encode("latin-1")
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-        return _STOP.sub(r" \1 ", text.replace("\n", " ")).split(" ")
+        return _STOP.sub(r" \1 ", text.replace("\n", " "))
+
+    def encode_new(self, pieces: list[str]) -> list[bytes]:
+        """By the library, GROUP pieces at a time with a mark between; a group in which marks don't add up goes piece by piece."""
+        width, out = np.dtype(self.dtype).itemsize, []
+        groups = [pieces[i : i + GROUP] for i in range(0, len(pieces), GROUP)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(group) - 1 and not any(MARK in p for p in group):
+                raw, bounds = ids.tobytes(), (cuts * width).tolist()
+                out += [raw[a:b] for a, b in zip([0, *[c + width for c in bounds]], [*bounds, len(raw)])]
+            else:
+                out += [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+        return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 64):
-            split = [self.pieces(t) for t in texts[i : i + 64]]
-            if len(self.young) > CACHE_PIECES:
-                self.young, self.old = {}, self.young
-            missing = set().union(*split).difference(self.young)
-            new = []
-            for piece in missing:
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; those not remembered are encoded together."""
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {}, self.young
+        young, new = self.young, []
+        for piece in pieces:
+            if piece not in young:
                 if (ids := self.old.get(piece)) is None:
                     new.append(piece)
                 else:
-                    self.young[piece] = ids
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.young[piece] = np.array(e.ids, self.dtype).tobytes()
-            get = self.young.__getitem__
-            out += [b"".join(map(get, pieces)) for pieces in split]
-        return out
+                    young[piece] = ids
+        young.update(zip(new, self.encode_new(new)))
+        return [young[piece] for piece in pieces]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Pieces are cut, told apart and replaced by their ids as whole arrays; Python sees distinct pieces only."""
+        lists = pc.split_pattern(pa.array([self.prepared(t) for t in texts], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        at, ids = coded.indices.to_numpy(), self.known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize
+        starts, own = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        out = flat[np.repeat(starts[at] - ends[:-1], own) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy()]
+        return [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, first, held = [], 0, 0
+        for i, text in enumerate(texts):
+            if i > first and held + len(text) > CHUNK_CHARS:
+                out += self._encode(texts[first:i])
+                first, held = i, 0
+            held += len(text)
+        return out + self._encode(texts[first:]) if texts else out
 
 
 @lru_cache(maxsize=1)
@@ -146,8 +186,6 @@ def write_records(docs: DataFrame, tokenizer: str, out: str, partitions: int | N
         filesystem.move(f"{name}.{attempt}", f"{name}.bin")
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "docs": [len(index)], "tokens": [tokens]})
 
-    import pyarrow as pa
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     hashed = rows.withColumn("h", F.xxhash64("text"))  # parts rows that share an id
     ordered = hashed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
@@ -191,8 +229,6 @@ def read_records(path: str, order=None):
 
 def digest_records(spark: SparkSession, manifest: pd.DataFrame) -> DataFrame:
     """From the files alone: ``doc_id, start, n_tokens, ids_crc32`` (of the ids as little-endian u32)."""
-    import pyarrow as pa
-
     ship(spark)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if manifest.empty:

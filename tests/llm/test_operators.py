@@ -329,6 +329,15 @@ def test_the_cache_forgets(monkeypatch):
     assert [np.frombuffer(b, "<u2").tolist() for b in e(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("marks", [0, 3])
+def test_pieces_parted_by_marks(monkeypatch, marks):
+    monkeypatch.setattr(token_records, "GROUP", 7)
+    monkeypatch.setattr(token_records, "CHUNK_CHARS", 900)
+    e = token_records.Encoder(tokenizer_path(), "<u2")
+    texts = [prose(60) for _ in range(30)] + ["", " ", "~ a~b ~~ \uff5e"] * marks + ["<|endoftext|> x", "İi ß Σς"]
+    assert [np.frombuffer(b, "<u2").tolist() for b in e(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
