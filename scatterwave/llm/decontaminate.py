@@ -26,6 +26,8 @@ _BLOCK_RADIUS = RADIUS // len(BLOCKS)
 #: Shingles of a benchmark that are sent to every worker; a larger benchmark is joined by shuffling hashes.
 BROADCAST_SHINGLES = 500_000
 _LANES = 16  # bits of a counter; four counters share a long
+#: Shingles of an item that such counters surely hold; where an item has more, counters of 32 bits are used.
+LANE_SHINGLES = 30_000
 
 
 def words(text: Column) -> Column:
@@ -44,19 +46,20 @@ def _positions(rows: DataFrame, keep: list[str], size: int = SHINGLE) -> DataFra
     return exploded.select(*keep, F.col("pos"), shingle_at(F.col("w"), F.col("pos"), size).alias("h"))
 
 
-def _simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _simhash(rows: DataFrame, keys: list[str], lanes: int = _LANES) -> DataFrame:
     """Fingerprint of each group of shingle hashes ``h``: a bit is set if it is set in over half of them.
 
-    Sixteen sums hold four 16-bit counters each, so a group may have 65,535 shingles.
+    ``lanes`` sums hold 64 / lanes counters of ``lanes`` bits each; the uppermost must stay positive.
     """
-    lane = sum(1 << (_LANES * j) for j in range(4))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(lane))).alias(f"c{i}") for i in range(_LANES)]
+    share = 64 // lanes
+    lane = sum(1 << (lanes * j) for j in range(share))
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(lane))).alias(f"c{i}") for i in range(lanes)]
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
     fp = F.lit(0).cast("long")
-    for i in range(_LANES):
-        for j in range(4):
-            count = F.shiftrightunsigned(f"c{i}", _LANES * j).bitwiseAND(F.lit(0xFFFF))
-            bit = 1 << (i + _LANES * j)
+    for i in range(lanes):
+        for j in range(share):
+            count = F.shiftrightunsigned(f"c{i}", lanes * j).bitwiseAND(F.lit((1 << lanes) - 1))
+            bit = 1 << (i + lanes * j)
             fp = fp.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit(bit - 2**64 if bit >= 2**63 else bit).cast("long")).otherwise(F.lit(0).cast("long")))
     return counted.select(*keys, fp.alias("fp"))
 
@@ -100,10 +103,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with several texts, each looked at on its own. Null and empty texts match nothing; empty tables give no rows.
     """
     items = cut(items_of(benchmark))
-    n_items = items.count()
+    n_items, longest = items.agg(F.count("*"), F.max("len")).first()
+    lanes = _LANES if (longest or 0) <= LANE_SHINGLES else 32
     item_shingles = cut(_positions(items, ["item_id", "len"]))
     n_shingles = item_shingles.count()
-    prints = _simhash(item_shingles, ["item_id", "len"])
+    prints = _simhash(item_shingles, ["item_id", "len"], lanes)
     anchors = item_shingles.select("h", F.col("pos").alias("at"), "len").distinct()
 
     # A text's hash tells apart rows that share an id; rows alike in both give the same windows, which are made distinct.
@@ -132,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         windows = touched.select("doc_id", "t", F.col("x.len").alias("len"), F.col("x.start").alias("start"), "w").select(*keys, cut_out).distinct()
     shingles = cut(_positions(windows, keys))
 
-    fps = _simhash(shingles, keys)
+    fps = _simhash(shingles, keys, lanes)
     blocks = fps.select(*keys, "fp", F.posexplode(F.array(*_block_values(F.col("fp")))).alias("block", "value"))
     near = broadcast_if_small(_neighbourhood(prints), n_items * 1_811, 2_000_000)
     pairs = blocks.join(near, ["len", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*keys, "item_id").distinct()

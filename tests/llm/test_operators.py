@@ -279,6 +279,13 @@ def test_decontamination_of_odd_rows(spark, odd, none):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_counters_of_long_items(spark):
+    rows = spark.range(40_000).selectExpr("1 AS k", "IF(id % 3 = 0, id, -1 - id % 4) AS h")
+    assert decontaminate._simhash(rows, ["k"], 32).first()["fp"] < 0
+    few = spark.range(900).selectExpr("id % 5 AS k", "xxhash64(id) AS h")
+    assert sorted(decontaminate._simhash(few, ["k"]).collect()) == sorted(decontaminate._simhash(few, ["k"], 32).collect())
+
+
 def test_blocks_cover_the_radius():
     assert sum(decontaminate.BLOCKS) == 64 and len(decontaminate.BLOCKS) * (decontaminate.RADIUS // len(decontaminate.BLOCKS) + 1) > decontaminate.RADIUS
 
