@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scatterwave.llm import decontaminate, exact_dedup, packing, quality, simhash
+from scatterwave.llm import decontaminate, exact_dedup, near_copies, packing, quality
 from scatterwave.runtime import scratch_path
 
 
@@ -20,7 +20,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked near copies, the row with the smallest doc_id stays."""
-    return simhash.keep_representatives(docs)
+    return near_copies.keep_representatives(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
