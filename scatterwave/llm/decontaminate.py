@@ -2,7 +2,7 @@
 and an exact weighted-shingle similarity.
 
 Texts are lower-cased and cut into words at anything that is neither letter nor digit. A shingle is five words (an item
-with fewer words is one shingle). A window has as many words as an item. A document is contaminated by an item if one
+with fewer words is one shingle). A window has as many words as an item; a document with fewer words is one window. A document is contaminated by an item if one
 of its windows and the item have a weighted Jaccard similarity of at least 0.8: the sum over shingles of the smaller
 multiplicity, over the sum of the larger.
 """
@@ -111,7 +111,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     anchors = item_shingles.select("h", F.col("pos").alias("at"), "len").distinct()
 
     # A text's hash tells apart rows that share an id; rows alike in both give the same windows, which are made distinct.
-    keys = ["doc_id", "t", "len", "start"]
+    # ``m`` is the number of words of the window: ``len``, or fewer where the whole document is shorter than the item.
+    keys = ["doc_id", "t", "len", "start", "m"]
     # Items under five words are one shorter shingle each, of at most four lengths; documents show those as well.
     short = [r["len"] for r in items.filter(F.col("len") < SHINGLE).select("len").distinct().collect()]
 
@@ -124,16 +125,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("t"), words(whole_text()).alias("w")).withColumn("n", F.size("w"))
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len"))).alias("start")
     cut_out = F.slice("w", F.col("start") + 1, F.col("len")).alias("w")
+    m = F.least(F.size("w"), F.col("len")).alias("m")
+    ours, its = F.greatest(F.col("n") - SHINGLE + 1, F.lit(1)), F.greatest(F.col("len") - SHINGLE + 1, F.lit(1))
+    enough = (F.col("n") >= F.col("len")) | (ours >= SIMILARITY * its - 1e-9)  # a shorter document's similarity is ours / its at most
     if n_shingles <= BROADCAST_SHINGLES:
         # The words are still at hand where a document's shingle meets the benchmark's, so windows alone are shuffled.
-        laid = shown(["doc_id", "t", "n", "w"]).join(F.broadcast(anchors), "h").filter("n >= len")
-        windows = laid.select("doc_id", "t", "len", start, "w").select(*keys, cut_out).distinct()
+        laid = shown(["doc_id", "t", "n", "w"]).join(F.broadcast(anchors), "h").filter(enough)
+        windows = laid.select("doc_id", "t", "len", start, m, "w").select(*keys, cut_out).distinct()
     else:
-        laid = shown(["doc_id", "t", "n"]).join(anchors, "h").filter("n >= len")
+        laid = shown(["doc_id", "t", "n"]).join(anchors, "h").filter(enough)
         places = cut(laid.select("doc_id", "t", "len", start).distinct().groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "len")).alias("places")))
         places = places.withColumnsRenamed({"doc_id": "d", "t": "tt"})
         touched = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("tt"))).select("doc_id", "t", "w", F.explode("places").alias("x"))
-        windows = touched.select("doc_id", "t", F.col("x.len").alias("len"), F.col("x.start").alias("start"), "w").select(*keys, cut_out).distinct()
+        windows = touched.select("doc_id", "t", F.col("x.len").alias("len"), F.col("x.start").alias("start"), "w").select("*", m).select(*keys, cut_out).distinct()
     shingles = cut(_positions(windows, keys))
 
     fps = _simhash(shingles, keys, lanes)
@@ -141,14 +145,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = broadcast_if_small(_neighbourhood(prints), n_items * 1_811, 2_000_000)
     pairs = blocks.join(near, ["len", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*keys, "item_id").distinct()
 
-    # Exact check: multiplicities of shared shingles. Both sides have len - 4 shingles (one at least), so the sum of
-    # the larger multiplicities is twice that less the sum of the smaller.
-    mine = _counts(shingles, keys, "a").withColumnsRenamed({"doc_id": "d", "t": "tt", "len": "l", "start": "s"})
+    # Exact check: multiplicities of shared shingles. The sides have m - 4 and len - 4 shingles (one at least), so the
+    # sum of the larger multiplicities is the total of both less the sum of the smaller.
+    mine = _counts(shingles, keys, "a").withColumnsRenamed({"doc_id": "d", "t": "tt", "len": "l", "start": "s"}).drop("m")
     theirs = _counts(item_shingles, ["item_id", "len"], "b").withColumnsRenamed({"item_id": "i", "len": "il", "h": "ih"})
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("tt")) & (F.col("len") == F.col("l")) & (F.col("start") == F.col("s"))
     shared = pairs.join(mine, same).join(broadcast_if_small(theirs, n_shingles, BROADCAST_SHINGLES), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("len") == F.col("il")) & (F.col("h") == F.col("ih")))
-    common = shared.groupBy("doc_id", "t", "len", "start", "item_id").agg(F.sum(F.least("a", "b")).alias("c"))
-    total = 2 * F.greatest(F.col("len") - SHINGLE + 1, F.lit(1))
+    common = shared.groupBy("doc_id", "t", "len", "start", "m", "item_id").agg(F.sum(F.least("a", "b")).alias("c"))
+    total = its + F.greatest(F.col("m") - SHINGLE + 1, F.lit(1))
     scored = common.withColumn("similarity", F.col("c") / (total - F.col("c"))).filter(F.col("similarity") >= SIMILARITY)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).cast("int").alias("start"), F.col("best.similarity").alias("similarity"))
