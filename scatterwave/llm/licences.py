@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -58,10 +59,24 @@ def normalise(text: str) -> list[str]:
 class Template:
     licence: str
     size: int  # words
+    first: tuple
+    last: tuple
     bigrams: Counter
     anchors: frozenset  # a passage that is similar enough has one of these
 
 
+def _apart(passages: list[tuple]) -> list[tuple]:
+    """Those of ``(dice, first, end, ...)`` that overlap none before them."""
+    firsts, ends, out = [], [], []
+    for m in passages:
+        k = bisect_left(firsts, m[2])  # the last taken one that begins before this one's end
+        if k == 0 or ends[k - 1] <= m[1]:
+            firsts.insert(k, m[1])
+            ends.insert(k, m[2])
+            out.append(m)
+    return out
+
+
 class Matcher:
     """Templates with their size bounds and the bigrams of which any match must hold one."""
 
@@ -79,11 +94,61 @@ class Matcher:
                     break
                 anchors.append(g)
                 free -= grams[g]
-            self.templates.append(Template(name, len(w), grams, frozenset(anchors)))
+            self.templates.append(Template(name, len(w), tuple(w[:2]), tuple(w[-2:]), grams, frozenset(anchors)))
         self.anchors = frozenset().union(*[t.anchors for t in self.templates])
+        self.bigrams = frozenset().union(*[t.bigrams for t in self.templates])
+
+    def passages(self, text: str | None) -> list[tuple[str, int, int, float]]:
+        """``licence, first word, end word, dice``: passages of every size that reach the similarity, not overlapping.
+
+        Of each template, the best by Dice are taken first, and of those of all templates the ones that share the most
+        bigrams. A passage of size bigrams can reach s only if s / (2 - s) n <= size <= (2 - s) / s n, and one whose
+        first or last bigram is none of the template's is less similar than without it. One of fewer words than the
+        template must begin and end as the template does (words left out inside); a statement cut off at an end is
+        looked at in a passage of the template's size.
+        """
+        words = normalise(text or "")
+        pairs = list(zip(words, words[1:]))
+        if self.anchors.isdisjoint(pairs):
+            return []
+        where: dict = {}
+        for i, p in enumerate(pairs):
+            if p in self.bigrams:
+                where.setdefault(p, []).append(i)
+        same, found = self._same_size(text), []
+        for t in self.templates:
+            if t.anchors.isdisjoint(where):
+                continue
+            n, s = t.size - 1, self.similarity
+            at = sorted(i for g in t.bigrams for i in where.get(g, ()))
+            longest = int((2 - s) / s * n + 1e-9)
+            least = -(-int(s * 1000) * n // int((2 - s) * 1000))  # bigrams that any match shares
+            own = same.get(id(t), [])
+            for a in range(len(at) - least + 1):
+                if at[a + least - 1] - at[a] >= longest:
+                    continue
+                first, left, shared = at[a], dict(t.bigrams), 0
+                for i in at[a:]:
+                    size = i - first + 1
+                    if size > longest:
+                        break
+                    if left[pairs[i]] > 0:
+                        left[pairs[i]] -= 1
+                        shared += 1
+                        dice = 2 * shared / (n + size)
+                        if dice >= s and (size > n or (pairs[first] == t.first and pairs[i] == t.last)):
+                            own.append((-dice, first, first + size + 1, t.licence, shared))
+            found += _apart(sorted(own))
+        best = _apart(sorted(found, key=lambda m: (-m[4], *m)))
+        return sorted(((name, a, b, -dice) for dice, a, b, name, _ in best), key=lambda m: m[1])
 
     def matches(self, text: str | None) -> list[tuple[str, int, int, float]]:
-        """``licence, first word, end word, dice``: the best passages, which do not overlap.
+        """``licence, first word, end word, dice``: the best passages of their template's own size, which do not overlap."""
+        best = _apart(sorted(m for own in self._same_size(text).values() for m in own))
+        return sorted(((name, a, b, -dice) for dice, a, b, name, _ in best), key=lambda m: m[1])
+
+    def _same_size(self, text: str | None) -> dict[int, list[tuple[float, int, int, str, int]]]:
+        """By template, passages ``-dice, first, end, licence, shared bigrams`` that reach the similarity, overlaps included.
 
         A passage is as long as its template, or the whole text where that is shorter; texts under the template's
         lower size bound are passed over. Each start within reach of an anchor is scored while the window slides.
@@ -91,12 +156,12 @@ class Matcher:
         words = normalise(text or "")
         pairs = list(zip(words, words[1:]))
         if self.anchors.isdisjoint(pairs):
-            return []
+            return {}
         where: dict = {}
         for i, p in enumerate(pairs):
             if p in self.anchors:
                 where.setdefault(p, []).append(i)
-        found = []
+        found: dict = {}
         for t in self.templates:
             n = t.size - 1
             if len(pairs) < self.similarity / (2 - self.similarity) * n:
@@ -120,13 +185,8 @@ class Matcher:
                 last = s
                 dice = 2 * shared / (n + size)
                 if dice >= self.similarity:
-                    found.append((-dice, s, s + size + 1, t.licence))
-        taken, best = [], []
-        for dice, a, b, name in sorted(found):
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
-                best.append((name, a, b, -dice))
-        return sorted(best, key=lambda m: m[1])
+                    found.setdefault(id(t), []).append((-dice, s, s + size + 1, t.licence, shared))
+        return found
 
 
 @lru_cache(maxsize=1)
@@ -143,7 +203,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batch):
         matcher = default_matcher()
-        rows = [(i, *m) for i, text in zip(batch["doc_id"], batch["text"]) for m in matcher.matches(text)]
+        rows = [(i, *m) for i, text in zip(batch["doc_id"], batch["text"]) for m in matcher.passages(text)]
         import pyarrow as pa
 
         kinds = {"doc_id": pa.int64(), "licence": pa.string(), "first_word": pa.int64(), "end_word": pa.int64(), "dice": pa.float64()}
