@@ -24,9 +24,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Words before a value that make it a credential; longer ones first.
 CONTEXT = re.compile(
-    r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private|secret)[ _-]?key)["']?[ \t]*(?:[:=]|=>|\bis\b)[ \t]*["'`]?([!-~]{8,})"""
+    r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|(?:bearer|basic)(?=["']?[ \t]*(?:[:=]|\bis\b))|(?:api|access|private|secret)[ _-]?key)["']?[ \t]*(?::=|={1,3}>?|:|\bis\b)[ \t]*["'`]?(?:(?:bearer|basic|token)[ \t]+)?["'`]?([!-~]{8,})"""
+    r"""|(?ai:\b(?:bearer|basic)[ \t]+)["'`]?([!-~]{8,})"""
 )
-CONTEXT_KEYS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
+CONTEXT_KEYS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "basic", "key")
 #: Bits at which a value counts as a secret.
 MIN_BITS = 50.0
 #: Words that guessers try first, most tried first.
@@ -126,9 +127,10 @@ def guessed_spans(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, int,
         return []
     out = []
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip("\"'`,;.)]}>#*&%$|")
+        k = 1 if m[1] else 2
+        value = m[k].rstrip("\"'`,;.)]}>#*&%$|")
         if len(value) >= 8 and guess_bits(value) >= min_bits:
-            out.append((m.start(1), m.start(1) + len(value), 3))
+            out.append((m.start(k), m.start(k) + len(value), 3))
     return out
 
 
