@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from scatterwave.runtime import broadcast_if_small, cut
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows that no learner sees: crc32 of the id as text is a multiple of five. A null id counts as empty text."""
@@ -29,6 +31,28 @@ def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.concat(F.col(k), F.lit("")) if kinds[k] == "string" else F.bitwise_not(F.bitwise_not(F.col(k))) for k in keys})
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores put on until no column has it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, key: Column | None = None, name: str = "t") -> DataFrame:
+    """``docs`` without the rows whose doc_id and text (by a hash of it, XXH64 unless given) stand in ``gone``; null ids equal null ids.
+
+    Up to two million rows of ``gone`` are sent to every worker, so texts stay where they are; more are joined by a shuffle.
+    """
+    gone = cut(gone.distinct())
+    d, t = fresh(docs.columns, "gone_id", "gone_text")
+    named = broadcast_if_small(gone.select(F.col("doc_id").alias(d), F.col(name).alias(t)), gone.count())
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col(d)) & ((F.xxhash64(whole_text()) if key is None else key) == F.col(t)), "left_anti")
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(columns: dict of lists) -> dict of lists or arrays`` over each Arrow batch; columns take the schema's types."""
     kinds = to_arrow_schema(StructType.fromDDL(schema))

@@ -35,8 +35,8 @@ def test_near_stage_drops_edited_copies(spark, none, monkeypatch):  # noqa: F811
                 low[max(root(i), root(j))] = min(root(i), root(j))
     want = sorted(i for i, _ in pairs if root(i) == i)
     docs = frame(spark, [*pairs, (None, pairs[6][1])])
-    for most in (200_000, 0):
-        monkeypatch.setattr(near_copies, "MAX_FREQUENT", most)
+    for slots, chunk in ((2**17, 2_048), (8, 4)):  # the second: hardly any order, and blocks in many chunks
+        monkeypatch.setattr(near_copies.near_classes, "__defaults__", (0.8, 5, 19, chunk, slots))
         out = pipeline.near_stage(spark, docs, "")
         assert out.columns == docs.columns
         assert sorted(r["doc_id"] for r in out.select("doc_id").collect() if r["doc_id"] is not None) == want
