@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scatterwave.llm.common import whole_text
+from scatterwave.llm.common import drop_rows, whole_text
 from scatterwave.runtime import broadcast_if_small, cut
 
 SHINGLE = 5
@@ -94,13 +94,12 @@ def _counts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.groupBy(*keys, "h").agg(F.count("*").alias(name))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, start, similarity``: the best window of every contaminated document and item, one row a pair.
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, t, item_id, start, similarity``: the best window of every contaminated text (``t``: its XXH64) and item.
 
     ``start`` is in words; of windows as good as each other, the earliest that is laid. A similarity above zero needs a shared shingle, so windows are laid
     wherever a document's shingle is one of the benchmark's, at the start which that shingle has in an item of that
-    length; each is then fingerprinted, found by blocks, and verified. Rows that repeat a doc_id count as one document
-    with several texts, each looked at on its own. Null and empty texts match nothing; empty tables give no rows.
+    length; each is then fingerprinted, found by blocks, and verified. Null and empty texts match nothing; empty tables give no rows.
     """
     items = cut(items_of(benchmark))
     n_items, longest = items.agg(F.count("*"), F.max("len")).first()
@@ -154,11 +153,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     common = shared.groupBy("doc_id", "t", "len", "start", "m", "item_id").agg(F.sum(F.least("a", "b")).alias("c"))
     total = its + F.greatest(F.col("m") - SHINGLE + 1, F.lit(1))
     scored = common.withColumn("similarity", F.col("c") / (total - F.col("c"))).filter(F.col("similarity") >= SIMILARITY)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    best = scored.groupBy("doc_id", "t", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    return best.select("doc_id", "t", "item_id", (-F.col("best.back")).cast("int").alias("start"), F.col("best.similarity").alias("similarity"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, item_id, start, similarity``: one row a pair, with the best window of ``matches``.
+
+    Rows that repeat a doc_id count as one document with several texts, each looked at on its own; rows without an id
+    count as one document with the id null. Ties go to the earliest window. Null and empty texts match nothing, and
+    empty tables give no rows. Only ``doc_id``, ``text`` and ``item_id`` are read, so other columns may have any names.
+    """
+    best = matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).cast("int").alias("start"), F.col("best.similarity").alias("similarity"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that no item contaminates, with their own columns. Rows without an id are judged by the null id's verdict."""
-    dirty = contaminated(docs, benchmark).select(F.col("doc_id").alias("__dirty"), F.lit(True).alias("__is")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__dirty"]), "left_anti")
+    """Rows whose text no item contaminates, with the columns of ``docs``.
+
+    Each row is judged by its own text, also where rows share an id or have none. Null and empty texts stay; an empty
+    benchmark keeps everything.
+    """
+    return drop_rows(docs, matches(docs, benchmark).select("doc_id", "t"))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scatterwave.llm.common import arrow_map, held_out
+from scatterwave.llm.common import arrow_map, fresh, held_out
 from scatterwave.runtime import ship
 
 WORD_SLOTS = 2**14
@@ -157,8 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     return fit(rows, pdf["y"].to_numpy(np.float32))
 
 
-def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """``carry`` columns and ``__score`` for every row."""
+def score(docs: DataFrame, model: Model, carry: list[str], name: str = "score") -> DataFrame:
+    """``carry`` columns and the score, called ``name``, for every row; null and empty texts have a score like any other."""
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
@@ -171,18 +171,26 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
             texts = batch.column("text").to_pylist()
             scores = np.concatenate([held.value.score([features(t, slots) for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)]) if texts else np.zeros(0)
             columns = [batch.column(c) for c in carry]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*carry, "__score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*carry, name])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*carry).dtypes)
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, f"{schema}, __score double")
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted``. Only the text is looked at."""
+    """One row per row of ``docs``: ``doc_id, held_out, score, predicted``. Only the text is looked at.
+
+    Null counts as empty; equal texts score alike, also in rows that repeat an id; an empty table gives no rows, and
+    no labels give a score of 0.5 to all. Other columns may have any names.
+    """
     out = score(docs, learn(docs, labels), ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that score at least the threshold, with their own columns."""
-    return score(docs, learn(docs, labels), docs.columns).filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    """Rows that score at least the threshold, with the columns of ``docs``, which may have any names.
+
+    Null counts as empty; rows without an id or with a repeated one are judged by their own text. Empty tables stay empty.
+    """
+    (name,) = fresh(docs.columns, "score")
+    return score(docs, learn(docs, labels), docs.columns, name).filter(F.col(name) >= THRESHOLD).select(*docs.columns)

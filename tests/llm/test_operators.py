@@ -19,7 +19,7 @@ from scatterwave.llm import components, decontaminate, exact_dedup, language, li
 from scatterwave.llm.queries import tokenizer_path
 from scatterwave.runtime import scratch_path
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t string, fp long, h int, w int, n int, len int, bucket int, __x int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t string, fp long, h int, w int, n int, len int, bucket int, score double, gone_id long, __d long"
 WORDS = "alpha beta gamma delta omega sigma kappa theta lambda zeta iota rho".split()
 RNG = random.Random(5)
 
@@ -29,7 +29,7 @@ def prose(n, rng=RNG):
 
 
 def frame(spark, pairs):
-    return spark.createDataFrame([(i, t, "en", "s", 0, "x", 1, 2, 3, 4, 5, 6, 7) for i, t in pairs], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", 0, "x", 1, 2, 3, 4, 5, 6, 0.5, 7, 8) for i, t in pairs], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -102,11 +102,13 @@ def test_exact_dedup(odd, none):
     assert exact_dedup.digest(none).count() == 0 and exact_dedup.deduplicate(none).count() == 0
 
 
-def test_exact_dedup_with_a_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_SLOTS", 32_768)
-    pairs = [(i, str(i % 40_000)) for i in range(40_100)]
-    out = exact_dedup.digest(spark.createDataFrame(pairs, "doc_id long, text string"))
-    assert out.filter("kept").count() == 40_000 and out.filter("group_size = 2").count() == 200
+@pytest.mark.parametrize("shard_slots", [65_536, 2**29])
+def test_exact_dedup_shards_its_filter(spark, shard_slots):
+    pairs = [(i, str(i % 40_000)) for i in range(40_100)] + [(50_000 + i, "hot") for i in range(3_000)]
+    assert exact_dedup.filter_size(len(pairs), 65_536) == (16, 65_536) and exact_dedup.filter_size(10**9)[0] == 32
+    out = exact_dedup.decide(spark.createDataFrame(pairs, "doc_id long, text string").repartition(7), shard_slots)
+    assert out.count() == len(pairs) and out.filter("kept").count() == 40_001 and out.filter("group_size = 2").count() == 200
+    assert out.filter("group_size = 3000 AND keep_id = 52999").count() == 3_000
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------
@@ -273,8 +275,8 @@ def test_decontamination_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, pairs[0][1]), (None, pairs[4][1])], "item_id long, text string")
     clean = decontaminate.keep_clean(docs, items)
     assert clean.columns == docs.columns
-    left = [i for i, t in pairs if i is not None and t not in (pairs[0][1], pairs[4][1], pairs[5][1])]
-    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(left)
+    dirty = (pairs[0][1], pairs[4][1], pairs[5][1])  # (None, "lone text") stays: each row is judged by its own text
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter((i, t) for i, t in pairs if t not in dirty)
     assert decontaminate.contaminated(none, items).count() == 0
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
