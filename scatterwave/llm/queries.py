@@ -54,7 +54,7 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 
 def op10_secret_scan(spark, sf_dir):
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), words=secrets.vocabulary_words(tokenizer_path()))
 
 
 def queries() -> dict:

@@ -420,7 +420,7 @@ def test_base_patterns():
         want = [(m.start(), m.end(), 0) for m in assign.finditer(text) if len(m[2]) >= 6]
         want += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
         want += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
-        assert secrets.base_spans(text) == sorted(want)
+        assert secrets.base_spans(text) == sorted(want, key=lambda x: (x[0], x[2]))
 
 
 def test_guess_cost():
