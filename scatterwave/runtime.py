@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,6 +28,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(_ROOT.rglob("*.py")):
             z.write(p, f"{_ROOT.name}/{p.relative_to(_ROOT)}")
     folder = tempfile.mkdtemp(prefix="scatterwave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, f"{_ROOT.name}.zip")
     Path(path).write_bytes(packed.getvalue())
     sc.addPyFile(path)  # the driver's file server hands it to executors
@@ -32,13 +36,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset, a temporary one serves a local session; a cluster has to name one."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="scatterwave-checkpoint-"))
+    if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="scatterwave-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -47,9 +56,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the shared folder and read it from there: its lineage ends and a lost executor costs nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    """Write ``df`` to the shared folder and read it from there: its lineage ends and a lost executor costs nothing.
+
+    The frame that comes back has no size estimate: a checkpoint keeps the one of its plan, and over many joins and
+    rounds the products of estimates grow to numbers so long that planning takes minutes.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    held = df.checkpoint(eager)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 2_000_000) -> DataFrame:
