@@ -28,6 +28,7 @@ RADIUS = 19
 SLOTS = 2**17
 #: Members of a block that one search holds at a time, and rows of small blocks that share a task.
 CHUNK, TASK_ROWS = 2_048, 50_000
+LINEAR_ROUNDS = 2
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -82,7 +83,7 @@ def _sets(docs: DataFrame, share: Fraction, size: int, slots: int) -> DataFrame:
 def _verified(pairs: DataFrame, rows: DataFrame, homes: DataFrame, share: Fraction, size: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose whole shingle sets are similar enough; only texts of classes in pairs are read again."""
     p, q = share.numerator, share.denominator
-    nodes = cut(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct().join(homes, "sig"))
+    nodes = cut(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct().join(homes.select("sig", "doc_id", "t"), "sig"))
     asked = broadcast_if_small(nodes.select("doc_id", "t", "sig"), nodes.count())
 
     def whole(batch):
@@ -137,49 +138,82 @@ def _blocked(members: DataFrame, chunk: int) -> DataFrame:
     return small.select(*keep).unionByName(large.select(*keep))
 
 
+def _first_met(members: DataFrame, share: Fraction, radius: int) -> DataFrame:
+    """Pairs ``a, b``, one at most for each member: the closest of the earliest members that its blocks offer from another component.
+
+    The earliest member is the one in which fewest rarer shingles stand before the block's own, usually the original
+    of edited copies. Members of its component meet the earliest one of any other.
+    """
+    p, q = share.numerator, share.denominator
+    own = F.struct("at", "sig", "k", "fp", "comp")
+    early = members.groupBy("h").agg(F.min(own).alias("x"))
+    with_x = members.join(dealt_anew(early, "h"), "h")
+    other = with_x.filter(F.col("comp") != F.col("x.comp")).groupBy("h").agg(F.min(own).alias("y"))
+    both = with_x.join(dealt_anew(other, "h"), "h").withColumn("lead", F.when(F.col("comp") == F.col("x.comp"), F.col("y")).otherwise(F.col("x")))
+    rest = F.least(F.col("k") - F.col("at"), F.col("lead.k") - F.col("lead.at"))  # the shared shingle and what may follow it
+    possible = (rest * (p + q) >= p * (F.col("k") + F.col("lead.k"))) & (F.col("k") * q >= p * F.col("lead.k")) & (F.col("lead.k") * q >= p * F.col("k"))
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp")))
+    best = both.filter(possible & (bits <= radius)).groupBy("sig").agg(F.min(F.struct(bits.alias("bits"), F.col("lead.sig").alias("to"))).alias("best"))
+    return best.select(F.least("sig", "best.to").alias("a"), F.greatest("sig", "best.to").alias("b")).distinct()
+
+
+def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``sig, comp`` of every class that has links, after more of them: components of components."""
+    if comps is None:
+        ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return cut(connected_components(ends).select(F.col("node").alias("sig"), F.col("component").alias("comp")))
+    name = lambda side: comps.select(F.col("sig").alias(side), F.col("comp").alias(f"c{side}"))
+    known = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+    more = cut(connected_components(known).select(F.col("node").alias("comp"), F.col("component").alias("to")))
+    old = comps.join(dealt_anew(more, "comp"), "comp", "left").select("sig", F.coalesce("to", "comp").alias("comp"))
+    new = more.select(F.col("comp").alias("sig"), F.col("to").alias("comp")).join(comps, "sig", "left_anti")
+    return cut(old.unionByName(new))
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, radius: int = RADIUS, chunk: int = CHUNK, slots: int = SLOTS) -> DataFrame:
     """``doc_id, t, class``: a number for each component of documents linked by a similarity of ``similarity`` or more.
 
     Under any one order of all shingles, sets x and y as similar as s share one of their first |x| - ceil(s |x|) + 1 and
     |y| - ceil(s |y|) + 1 shingles. The order is rare ones first, by counts over all documents; documents that share
-    such a shingle form a block. Equal sets are one class from the start. Then, in each block, every member meets
-    the one that shows the shingle earliest, usually the original of edited copies: work linear in the block. Only
-    blocks that still hold several components are searched by vantage-point trees, and only pairs across components
-    leave them. All pairs are checked on whole sets, so a link is never wrong; a similar pair is missed only where its
-    fingerprints differ in more than ``radius`` bits (about 0.1 % of pairs at a similarity of just 0.8).
+    such a shingle form a block. Equal sets are one class from the start. Then, twice, every member of a block meets
+    one early member of another component: work linear in the block. Blocks that still hold several components are
+    searched by vantage-point trees, and only pairs across components leave them. All pairs are checked on whole
+    sets, so a link is never wrong; a similar pair is missed only where its fingerprints differ in more than ``radius``
+    bits (about 0.1 % of pairs at a similarity of just 0.8).
 
     Null and empty texts, and those without words, are alike. Rows without an id are left out. ``t`` tells apart rows
-    that share an id; each is looked at on its own.
+    that share an id; each is looked at on its own. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     share = Fraction(str(similarity))
-    p, q = share.numerator, share.denominator
     sets = _sets(docs, share, size, slots)
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("t"), "text")
-    homes = cut(sets.groupBy("sig").agg(F.min(F.struct("doc_id", "t")).alias("home"))).select("sig", "home.doc_id", "home.t")
+    counted = sets.groupBy("sig").agg(F.min(F.struct("doc_id", "t")).alias("home"), F.count("*").alias("n"))
+    homes = cut(counted).select("sig", "home.doc_id", "home.t", "n")
+    copied = cut(homes.filter("n > 1").select("sig", F.col("doc_id").alias("d"), F.col("t").alias("tt")))
+    copied = broadcast_if_small(copied, copied.count())
+    one = sets.join(copied, "sig", "left").filter("d IS NULL OR (doc_id = d AND t = tt)")  # each class by its home
+
+    index = one.select("sig", "k", "fp", F.posexplode("first").alias("at", "h"))
+    often = cut(index.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    members = cut(index.join(broadcast_if_small(often, often.count()), "h", "left_semi"))
+    comps = None
+    for _ in range(LINEAR_ROUNDS):
+        marked = _marked(members, comps)
+        comps = _merged(comps, _verified(cut(_first_met(marked, share, radius)), rows, homes, share, size))
+    marked = cut(_marked(members, comps))
+    mixed = marked.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
+    left = cut(marked.join(dealt_anew(mixed, "h"), "h", "left_semi"))
+    found = _blocked(left, chunk).groupBy("task").applyInPandas(_search(share, radius), "a long, b long")
+    comps = _merged(comps, _verified(cut(found.distinct()), rows, homes, share, size))
+    return _marked(sets.select("doc_id", "t", "sig"), comps).select("doc_id", "t", F.col("comp").alias("class"))
 
-    one = sets.join(homes, ["sig", "doc_id", "t"]).dropDuplicates(["sig"])
-    index = cut(one.select("sig", "k", "fp", F.posexplode("first").alias("at", "h")))
-    lead = index.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("at", "sig", "k", "fp")).alias("lead")).filter("n > 1").select("h", "lead")
-    shared = cut(index.join(dealt_anew(lead, "h"), "h"))
-    rest = F.least(F.col("k") - F.col("at"), F.col("lead.k") - F.col("lead.at"))  # the shared shingle and what may follow it
-    possible = (rest * (p + q) >= p * (F.col("k") + F.col("lead.k"))) & (F.col("k") * q >= p * F.col("lead.k")) & (F.col("lead.k") * q >= p * F.col("k"))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= radius
-    first = shared.filter((F.col("sig") != F.col("lead.sig")) & possible & close)
-    pairs = cut(first.select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct())
-    known = cut(connected_components(_verified(pairs, rows, homes, share, size).select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    comp = known.select(F.col("node").alias("sig"), F.col("component").alias("comp"))
-    marked = cut(shared.drop("lead").join(dealt_anew(comp, "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")))
-    mixed = marked.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    members = cut(marked.join(dealt_anew(mixed, "h"), "h", "left_semi"))
-    found = _blocked(members, chunk).groupBy("task").applyInPandas(_search(share, radius), "a long, b long")
-    across = cut(_verified(cut(found.distinct()), rows, homes, share, size))
-    joined = across.join(comp.select(F.col("sig").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("sig").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    more = connected_components(joined.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
-    more = cut(more.select(F.col("node").alias("comp"), F.col("component").alias("class")))
-    named = sets.select("doc_id", "t", "sig").join(dealt_anew(comp, "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    return named.join(dealt_anew(more, "comp"), "comp", "left").select("doc_id", "t", F.coalesce("class", "comp").alias("class"))
+def _marked(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``rows`` with their class's component; a class without links is its own."""
+    if comps is None:
+        return rows.withColumn("comp", F.col("sig"))
+    return rows.join(broadcast_if_small(comps, comps.count()), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
 
 
 def keep_representatives(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
