@@ -151,25 +151,49 @@ def test_sum_of_squares_identity():
 
 def test_line_dedup_equals_sql(spark):
     rng = random.Random(3)
-    lines = ["Alpha", " alpha", "beta", "", "  ", "gamma gamma", "delta", "e", "long " * 25, "other " * 22]
-    pairs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 9)))) for i in range(120)] + [(500, None), (501, ""), (502, "\n".join(lines * 400))]
+    lines = ["Alpha", " alpha", "beta", "", "  ", "gamma gamma", "delta", "e", "long " * 25, "other " * 22, "half " * 12]
+    pairs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 9)))) for i in range(160)] + [(500, None), (501, ""), (502, "\n".join(lines * 400))]
+    page = [prose(rng.choice([2, 4, 6]), rng) for _ in range(60)]
+    pairs += [(600 + i, "\n".join([prose(3, rng), *page[(a := rng.randrange(50)) : a + rng.randrange(1, 9)], prose(3, rng)])) for i in range(80)]
     docs = spark.createDataFrame(pairs, "doc_id long, text string")
     documents = pd.DataFrame(pairs, columns=["doc_id", "text"])  # noqa: F841
     con = duckdb.connect()
     con.register("documents", documents)
     want = con.execute(line_dedup.ORACLE_SQL).df().sort_values("doc_id", ignore_index=True)
     got = line_dedup.digest(docs).toPandas().sort_values("doc_id", ignore_index=True)
-    assert want["n_removed"].sum() > 100
+    assert want["n_removed"].sum() > 200
     for c in got.columns:
         assert (got[c] == want[c]).all(), c
 
 
+def test_matches_stand_where_they_say(spark):
+    rng = random.Random(8)
+    page = [f"line {i} {prose(2, rng)}" for i in range(400)]
+    pairs = [(1, "\n".join(page[:200])), (2, "\n\n".join(["new", *page[20:90], "}", "}", *page[100:103], "x", *page[150:152]])), (3, "\n".join(page[180:300])), (4, "\n".join([*page[250:260], *page[30:40]]))]
+    full = {i: [x for x in t.split("\n") if x] for i, t in pairs}
+    runs = line_dedup.matches(frame(spark, pairs)).collect()
+    got = {(r["doc_id"], r["first"], r["last"], r["from_id"], r["from_first"]) for r in runs}
+    assert got == {(2, 1, 70, 1, 20), (2, 73, 75, 1, 100), (3, 0, 19, 1, 180), (4, 0, 9, 3, 70), (4, 10, 19, 1, 30)}
+    for d, a, b, e, c in got:
+        assert full[d][a : b + 1] == full[e][c : c + b - a + 1]
+
+
+def test_line_dedup_of_many_runs(spark):
+    """Time linear in the runs of one document: 30,000 of them, parted by lines of its own."""
+    rows = spark.range(1).selectExpr("1L AS doc_id", "array_join(transform(sequence(0, 89999), i -> concat('line ', i)), '\n') AS text").union(
+        spark.range(1).selectExpr("2L", "array_join(flatten(transform(sequence(0, 29999), i -> array(concat('own ', i), concat('line ', 3 * i), concat('line ', 3 * i + 1), concat('line ', 3 * i + 2)))), '\n')")
+    )
+    out = {r["doc_id"]: r for r in line_dedup.digest(rows).collect()}
+    assert out[1]["n_removed"] == 0 and out[2]["n_removed"] == 90_000
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     docs, pairs = odd
-    out = line_dedup.dedup_lines(docs.withColumn("first", docs["n"]))
+    out = line_dedup.dedup_lines(docs.withColumn("first", docs["n"]).withColumn("runs", docs["n"]))
+    assert out.columns == [*[c for c in docs.columns if c != "text"], "first", "runs", "text", "n_removed"]
     assert out.count() == len(pairs) and out.filter("text IS NULL").count() == 1
     by_id = {r["doc_id"]: r for r in out.collect()}
-    assert by_id[1]["__removed"] == 1 and by_id[2]["__removed"] == 1 and by_id[9]["__removed"] == 0  # one long line each; the null id is first
+    assert by_id[1]["n_removed"] == 1 and by_id[2]["n_removed"] == 1 and by_id[9]["n_removed"] == 0  # one long line each; the null id is first
     assert line_dedup.digest(none).count() == 0
 
 
