@@ -75,10 +75,19 @@ def test_packing(spark, odd, none, monkeypatch):
     assert packing.pack(none).count() == 0
 
 
-def test_long_lengths_round_up_a_little(spark):
-    df = spark.createDataFrame([(n,) for n in (1, 8192, 8193, 100_001, 2**40 + 1)], "n long")
-    got = [(r["n"], r["r"]) for r in df.select("n", packing.rounded_length(df["n"]).alias("r")).collect()]
-    assert all(n <= r <= n * 1.001 + 0.5 for n, r in got) and got[:2] == [(1, 1), (8192, 8192)]
+def test_boundaries_of_many_and_long_lengths():
+    rng = np.random.default_rng(4)
+    lengths = np.unique(rng.integers(1, 10**9, 50_000))
+    bounds = packing.optimal_boundaries(lengths, rng.integers(1, 50, len(lengths)), 16)
+    assert len(bounds) == 16 and bounds[-1] == lengths[-1]
+    huge = packing.optimal_boundaries(np.array([5, 10**10, 10**10 + 1]), np.array([10**10, 3, 10**10]), 2)
+    assert huge == [5, 10**10 + 1]
+
+
+def test_packing_deals_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_ROWS", 10)
+    out = packing.pack(spark.range(400).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same' AS text"), budget=50)
+    assert out.select("batch", "slot").distinct().count() == 400 and out.groupBy("batch").count().filter("count <> 10").isEmpty()
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
