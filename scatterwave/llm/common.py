@@ -31,6 +31,18 @@ def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.concat(F.col(k), F.lit("")) if kinds[k] == "string" else F.bitwise_not(F.bitwise_not(F.col(k))) for k in keys})
 
 
+def join_back(rows: DataFrame, values: DataFrame, key: str, total: int, share: int = 1_000) -> DataFrame:
+    """``rows`` inner-joined by ``key`` to ``values``, which have one row a key and ``n``, the number of its rows out of ``total``.
+
+    Keys with at least a ``share``-th of all rows, ``share`` of them at most, are joined by a broadcast, so none of
+    their rows move; the others by a shuffle that Spark can split. ``n`` is dropped.
+    """
+    heavy = F.col("n") >= max(2, -(-total // share))
+    large = F.broadcast(values.filter(heavy).drop("n"))
+    light = rows.join(F.broadcast(values.filter(heavy).select(key)), key, "left_anti").join(dealt_anew(values.filter(~heavy).drop("n"), key), key)
+    return rows.join(large, key).unionByName(light)
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """``names``, each with underscores put on until no column has it in any case."""
     taken, out = {c.lower() for c in columns}, []

@@ -8,14 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterwave.llm.common import dealt_anew, drop_rows, fresh, whole_text
+from scatterwave.llm.common import dealt_anew, drop_rows, fresh, join_back, whole_text
 from scatterwave.runtime import cut, scratch_path, ship
 
 #: Slots of the filter for each row, and those of one shard of it (a bit each: 64 MiB). Larger corpora have more shards.
 SLOTS_PER_ROW, SHARD_SLOTS = 16, 2**29
 _SEGMENT = 65_536  # slots whose numbers inside a segment fit 16 bits
-#: Groups with at least this share of the rows that may be repeated are joined by a broadcast of their verdicts: 1,000 groups at most.
-HEAVY_SHARE = 1_000
 
 
 def filter_size(rows: int, shard_slots: int = SHARD_SLOTS) -> tuple[int, int]:
@@ -107,10 +105,7 @@ def decide(docs: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     # Counted map-side, so a group of any size is one row for each task. Verdicts go back to large groups by a broadcast.
     groups = cut(rest.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count("*").alias("group_size")))
     total = groups.agg(F.sum("group_size")).first()[0] or 0
-    heavy = F.col("group_size") >= max(2, -(-total // HEAVY_SHARE))
-    large = F.broadcast(groups.filter(heavy))  # HEAVY_SHARE rows at most
-    small = rest.join(F.broadcast(groups.filter(heavy).select("sha")), "sha", "left_anti").join(dealt_anew(groups.filter(~heavy), "sha"), "sha")
-    judged = rest.join(large, "sha").unionByName(small)
+    judged = join_back(rest, groups.withColumn("n", F.col("group_size")), "sha", total)
     judged = judged.select("doc_id", "sha", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"))
     return unique.unionByName(judged)
 

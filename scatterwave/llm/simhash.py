@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from scatterwave.llm.common import arrow_map, roots
+from scatterwave.llm.common import arrow_map, dealt_anew, fresh, join_back, roots
 from scatterwave.llm.components import connected_components
-from scatterwave.runtime import cut, ship
+from scatterwave.runtime import broadcast_if_small, cut, ship
 
 RADIUS = 2
-#: Fingerprints that a shard aims at, and the most levels of the tree that assigns shards.
-SHARD_ROWS, MAX_LEVELS = 8_192, 13
+#: Fingerprints that a shard aims at. The tree that assigns shards grows a level whenever these double, up to the
+#: 131,072 shards that a driver can hold (10^9 fingerprints at SHARD_ROWS); beyond, shards grow and are split in blocks.
+SHARD_ROWS, MAX_LEVELS = 8_192, 17
 #: Sampled fingerprints for each shard, from which vantage points and radii are taken.
-SAMPLE_PER_SHARD = 32
+SAMPLE_PER_SHARD = 16
 LEAF = 128
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -172,20 +173,18 @@ def link_classes(classes: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
     n = classes.count()
     levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))))
     sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_SHARD * 2**levels).toPandas()
-    tree = build_router(sample["fp"].to_numpy(np.int64).view(np.uint64), levels)
+    tree = spark.sparkContext.broadcast(build_router(sample["fp"].to_numpy(np.int64).view(np.uint64), levels))
 
     def deal(batch):
         fps = np.array(batch["fp"], np.int64)
-        at, shard, home = route(tree, fps.view(np.uint64), radius)
+        at, shard, home = route(tree.value, fps.view(np.uint64), radius)
         return {"shard": shard, "home": home, "fp": fps[at], "rep": np.array(batch["rep"], np.int64)[at]}
 
-    dealt = arrow_map(classes, deal, "shard long, home boolean, fp long, rep long")
-    # One row per shard, and shards are bounded by 2 ** MAX_LEVELS.
-    own = {r["shard"]: (r["homes"], r["n"]) for r in dealt.groupBy("shard").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("n")).collect()}
-    blocks = {s: -(-homes // (4 * shard_rows)) for s, (homes, _) in own.items() if homes > 4 * shard_rows}
-    slices = {s: -(-total // (64 * shard_rows)) for s, (_, total) in own.items() if total > 64 * shard_rows}
-    lookup = lambda d: F.coalesce(F.create_map(*[F.lit(int(x)) for kv in d.items() for x in kv])[F.col("shard")], F.lit(1)) if d else F.lit(1)
-    spread = dealt.withColumn("nb", lookup(blocks)).withColumn("ns", lookup(slices))
+    dealt = cut(arrow_map(classes, deal, "shard long, home boolean, fp long, rep long"))
+    sizes = dealt.groupBy("shard").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("n"))
+    parts = lambda c, most, of: F.when(F.col(c) > most, F.ceil(F.col(c) / of)).otherwise(1).cast("int")
+    sizes = sizes.select("shard", parts("homes", 4 * shard_rows, 4 * shard_rows).alias("nb"), parts("n", 64 * shard_rows, 64 * shard_rows).alias("ns"))
+    spread = dealt.join(F.broadcast(sizes), "shard")  # 2 ** MAX_LEVELS rows at most
     mine, slice_ = F.pmod(F.xxhash64("fp"), F.col("nb")), F.pmod(F.xxhash64("fp", F.lit(7)), F.col("ns"))
     points = spread.filter("home").select("shard", mine.alias("block"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("slice"), F.lit(True).alias("point"), "fp", "rep")
     queries = spread.select("shard", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), slice_.alias("slice"), F.lit(False).alias("point"), "fp", "rep")
@@ -204,28 +203,34 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
 
     Documents with equal fingerprints are one class before any search, so copies never meet in pairs. Rows that
     share a doc_id are one document with several texts. Rows without an id link to nothing and have no component.
+    Null and empty texts have the fingerprint zero, which links like any other. An empty table gives no rows.
     """
     fps = cut(fingerprints(docs))
-    classes = fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep"))
-    classes = cut(classes)
-    links = link_classes(classes, radius, shard_rows)
+    named = fps.filter("doc_id IS NOT NULL").withColumn("id", F.col("doc_id").cast("long"))
+    classes = cut(named.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    links = link_classes(classes.select("fp", "rep"), radius, shard_rows)
     # A document with several fingerprints ties its classes together.
-    ties = fps.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("u"), "fp").join(classes, "fp").filter("u <> rep").select("u", F.col("rep").alias("v"))
-    repeated = fps.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("u")).agg(F.count_distinct("fp").alias("k")).filter("k > 1").select("u")
-    ties = ties.join(repeated, "u", "left_semi")
-    found = connected_components(links.unionByName(ties))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = fps.join(named, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    repeated = cut(named.groupBy("id").agg(F.count_distinct("fp").alias("k")).filter("k > 1").select("id"))
+    several = named.select("id", "fp").join(broadcast_if_small(repeated, repeated.count()), "id", "left_semi")
+    ties = several.distinct().join(classes.select("fp", "rep"), "fp").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    found = cut(connected_components(links.unionByName(ties)))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    values = classes.join(dealt_anew(found, "node"), classes["rep"] == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = join_back(named, cut(values), "fp", total).select("doc_id", "fp", "component_id")
+    return out.unionByName(fps.filter("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component; rows without an id stay. Columns are those of ``docs``."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The document with the smallest doc_id of each component within the radius; rows without an id stay.
+
+    Columns are those of ``docs``, of any names. For similarity instead of a radius see ``near_copies``.
+    """
+    (name,) = fresh(docs.columns, "gone")
+    gone = cut(near_duplicates(docs, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(broadcast_if_small(gone, gone.count()), docs["doc_id"] == gone[name], "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint`` (16 hex digits), ``component_id``."""
+    """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hex digits), ``component_id``; see ``near_duplicates`` for odd rows."""
     out = near_duplicates(docs)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
