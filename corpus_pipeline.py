@@ -1,49 +1,56 @@
-"""From raw documents to packed batches: five stages, each reading what the one before it kept."""
+"""From raw documents to packed batches: five stages, each reading what the one before it kept.
+
+Each stage takes all rows of its predecessor, with any columns beside ``doc_id`` and ``text``; all but the last give
+the columns of documents. Null texts count as empty throughout, and empty tables stay empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from scatterwave.llm import decontaminate, exact_dedup, near_copies, packing, quality
-from scatterwave.runtime import scratch_path
+from scatterwave.runtime import delete_path, scratch_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Each row is judged by its own text, with an id or without."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
+    """Of equal texts, the row with the largest doc_id stays; rows without an id go before any other, and one of rows alike in both stays."""
     return exact_dedup.deduplicate(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked near copies, the row with the smallest doc_id stays."""
+    """SimHash near-dedup by similarity: of linked near copies, the row with the smallest doc_id stays; rows without an id stay."""
     return near_copies.keep_representatives(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Rows whose text holds a passage of the benchmark go, with an id or without."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each remaining document's bucket, batch and slot."""
+    """Each remaining row's bucket, batch and slot."""
     return packing.pack(docs)
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("decontamination", benchmark_stage), ("packing", packing_stage)]
 
-#: Learned scores and Hamming components are beyond SQL; the tests hold run() against a plain Python version.
+#: Learned scores and components of links are beyond SQL; the tests hold run() against plain Python stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written to the shared folder and read again, and goes when the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs

@@ -1,4 +1,4 @@
-"""Exact transforms as joins and aggregates; no Python worker takes part.
+"""Exact transforms as joins and aggregates; a Python worker takes part only in ordered sums of type 1.
 
 Rows: ``points(point_id, x0..)``, ``strengths(transform_id, point_id, re, im)``,
 ``modes(transform_id, k0.., re, im)``, ``targets(target_id, s0..)``.
@@ -7,15 +7,20 @@ Empty inputs give zeros for every mode or target, and no rows where there is no
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scatterwave.config import Precision, TransformConfig, Type3Config
+from scatterwave.config import ModeOrder, Precision, TransformConfig, Type3Config
 from scatterwave.functions.columns import phase, rotate
+from scatterwave.functions.kernel import signed_modes
 from scatterwave.operators.modes import axis_names, mode_table, transform_ids
-from scatterwave.runtime import broadcast_if_small
+from scatterwave.runtime import broadcast_if_small, dealt_out, ship
 
 FOLD = 1024
+#: Modes of one array of type 2, and those that an ordered task sums at once; beyond, terms are ordered as rows.
+BLOCK_MODES, ORDERED_MODES = 65_536, 2**18
 
 
 def rounded(column: Column, precision: Precision) -> Column:
@@ -32,19 +37,49 @@ def attach(points: DataFrame, values: DataFrame, names: list[str], id_col: str,
     return values.select(*own).join(points.select(id_col, *cols), id_col)
 
 
+def fold(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Adds ``re, im`` of each key in the order of ``at``, FOLD partial sums at a time, so no list grows with the data."""
+
+    def folded(value: str) -> Column:
+        return F.aggregate(F.sort_array(F.col("items")), F.lit(0.0), lambda acc, s: acc + s[value]).alias(value)
+
+    items = F.collect_list(F.struct(F.col(at).alias("at"), "re", "im")).alias("items")
+    parts = rows.groupBy(*keys, F.floor(F.col(at) / FOLD).alias("part")).agg(items).select(*keys, "part", folded("re"), folded("im"))
+    last = F.collect_list(F.struct(F.col("part").alias("at"), "re", "im")).alias("items")
+    return parts.groupBy(*keys).agg(last).select(*keys, folded("re"), folded("im"))
+
+
+def _ordered_type1(data: DataFrame, config: TransformConfig) -> DataFrame:
+    """``transform_id, lin, re, im`` with a fixed order of summation: blocks of 1,024 ids are each summed in id order in one
+    place, then the blocks in order. A block gives one row for each mode, so points are shuffled once and terms never.
+    """
+    ship(data.sparkSession)
+    xs = axis_names("x", config.rank)
+    axes = [np.fft.ifftshift(signed_modes(n)) if config.mode_order is ModeOrder.FFT else signed_modes(n) for n in config.n_modes]
+    sign, count = config.sign, config.mode_count
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["point_id", *xs, "re", "im"], kind="stable")
+        c, x = pdf["re"].to_numpy(float) + 1j * pdf["im"].to_numpy(float), [pdf[n].to_numpy(float) for n in xs]
+        total = np.zeros(count, complex)
+        step = max(1, 2**20 // count)
+        for i in range(0, len(c), step):
+            terms = c[i : i + step, None]
+            for d, k in enumerate(axes):  # dimension zero is the fastest
+                terms = (np.exp(1j * sign * np.outer(x[d][i : i + step], k))[:, :, None] * terms[:, None, :]).reshape(len(terms), -1)
+            for row in terms:
+                total += row
+        return pd.DataFrame({"transform_id": np.full(count, pdf["transform_id"].iloc[0], np.int32), "block": np.full(count, pdf["block"].iloc[0]), "lin": np.arange(count), "re": total.real, "im": total.imag})
+
+    blocks = data.withColumn("block", F.floor(F.col("point_id") / FOLD)).groupBy("transform_id", "block").applyInPandas(run, "transform_id int, block long, lin long, re double, im double")
+    return fold(blocks, ["transform_id", "lin"], "block")
+
+
 def _sums(rows: DataFrame, keys: list[str], deterministic: bool, id_col: str) -> DataFrame:
-    """Sum re and im for each key; the ordered way folds 1,024-id blocks in id order, so layout cannot change a bit."""
+    """Sum re and im for each key; the ordered way adds the terms in id order, so layout cannot change a bit."""
     if not deterministic:
         return rows.groupBy(*keys).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-
-    def folded(items: str, value: str) -> Column:
-        return F.aggregate(F.sort_array(F.col(items)), F.lit(0.0), lambda acc, s: acc + s[value]).alias(value)
-
-    block = F.floor(F.col(id_col) / FOLD)
-    first = rows.groupBy(*keys, block.alias("block")).agg(F.collect_list(F.struct(F.col(id_col).alias("at"), "re", "im")).alias("items"))
-    second = first.select(*keys, "block", folded("items", "re"), folded("items", "im"))
-    third = second.groupBy(*keys).agg(F.collect_list(F.struct(F.col("block").alias("at"), "re", "im")).alias("items"))
-    return third.select(*keys, folded("items", "re"), folded("items", "im"))
+    return fold(rows, keys, id_col)
 
 
 def type1(points: DataFrame, strengths: DataFrame, config: TransformConfig, active: int | None = None, deterministic: bool = False) -> DataFrame:
@@ -57,10 +92,14 @@ def type1(points: DataFrame, strengths: DataFrame, config: TransformConfig, acti
     spark, xs, ks = points.sparkSession, axis_names("x", config.rank), axis_names("k", config.rank)
     modes = mode_table(spark, config)
     data = attach(points, strengths, xs, "point_id", config.precision).filter(F.col("transform_id").between(0, active - 1))
+    every = transform_ids(spark, active).crossJoin(modes)
+    if deterministic and config.mode_count <= ORDERED_MODES:
+        sums = _ordered_type1(data, config)
+        return every.join(sums, ["transform_id", "lin"], "left").select("transform_id", "lin", *ks, F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"))
     angle = phase([F.col(x) for x in xs], [F.col(k) for k in ks], config.sign)
     re, im = rotate(F.col("re"), F.col("im"), angle)
-    terms = data.crossJoin(broadcast_if_small(modes, config.mode_count)).select("transform_id", "lin", *ks, "point_id", re.alias("re"), im.alias("im"))
-    zeros = transform_ids(spark, active).crossJoin(modes).select("transform_id", "lin", *ks, F.lit(-1).cast("long").alias("point_id"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    terms = dealt_out(data).crossJoin(broadcast_if_small(modes, config.mode_count)).select("transform_id", "lin", *ks, "point_id", re.alias("re"), im.alias("im"))
+    zeros = every.select("transform_id", "lin", *ks, F.lit(-1).cast("long").alias("point_id"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
     return _sums(terms.unionByName(zeros), ["transform_id", "lin", *ks], deterministic, "point_id")
 
 
@@ -68,7 +107,8 @@ def type2(points: DataFrame, modes: DataFrame, config: TransformConfig, active:
     """``c_j = sum_k f_k exp(i sign k x_j)`` at every point: ``transform_id, point_id, re, im``.
 
     The modes of a transform travel as one array, sorted by mode, beside which points are evaluated in place:
-    no shuffle of points, and a fixed order of summation.
+    no shuffle of points, and a fixed order of summation. More than ``BLOCK_MODES`` modes travel in several arrays,
+    whose sums meet by the point's row, so no task holds them all. Points that share an id each have their row.
     """
     active = config.check_active_batch(active)
     xs, ks = axis_names("x", config.rank), axis_names("k", config.rank)
@@ -76,9 +116,14 @@ def type2(points: DataFrame, modes: DataFrame, config: TransformConfig, active:
     tid = F.col("transform_id") if "transform_id" in modes.columns else F.lit(0)
     rows = modes.select(tid.cast("int").alias("transform_id"), *ks, rounded(F.col("re"), config.precision).alias("re"), rounded(F.col("im"), config.precision).alias("im"))
     rows = rows.filter(F.col("transform_id").between(0, active - 1))
-    packed = rows.groupBy("transform_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(k) for k in reversed(ks)], "re", "im"))).alias("f"))
-    packed = transform_ids(spark, active).join(packed, "transform_id", "left")
-    pts = points.select("point_id", *[rounded(F.col(x), config.precision).alias(x) for x in xs])
+    blocks = -(-config.mode_count // BLOCK_MODES)
+    block = F.pmod(F.xxhash64(*ks), F.lit(blocks)) if blocks > 1 else F.lit(0).cast("long")
+    packed = rows.groupBy("transform_id", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct(*[F.col(k) for k in reversed(ks)], "re", "im"))).alias("f"))
+    every = transform_ids(spark, active).crossJoin(spark.range(blocks).withColumnRenamed("id", "block"))
+    packed = every.join(packed, ["transform_id", "block"], "left")
+    pts = dealt_out(points.select("point_id", *[rounded(F.col(x), config.precision).alias(x) for x in xs]))
+    if blocks > 1:
+        pts = pts.withColumn("row", F.monotonically_increasing_id())
 
     def step(acc: Column, m: Column) -> Column:
         re, im = rotate(m["re"], m["im"], phase([F.col(x) for x in xs], [m[k] for k in ks], config.sign))
@@ -87,7 +132,10 @@ def type2(points: DataFrame, modes: DataFrame, config: TransformConfig, active:
     zero = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
     total = F.when(F.col("f").isNull(), zero).otherwise(F.aggregate(F.col("f"), zero, step))
     out = pts.crossJoin(broadcast_if_small(packed, config.mode_count * active))
-    return out.select("transform_id", "point_id", total.alias("c")).select("transform_id", "point_id", "c.re", "c.im")
+    if blocks == 1:
+        return out.select("transform_id", "point_id", total.alias("c")).select("transform_id", "point_id", "c.re", "c.im")
+    parts = out.select("transform_id", "point_id", "row", "block", total.alias("c")).select("transform_id", "point_id", "row", "block", "c.re", "c.im")
+    return fold(parts, ["transform_id", "row", "point_id"], "block").drop("row")
 
 
 def type3(sources: DataFrame, strengths: DataFrame, targets: DataFrame, config: Type3Config, active: int | None = None, deterministic: bool = False) -> DataFrame:
@@ -101,7 +149,7 @@ def type3(sources: DataFrame, strengths: DataFrame, targets: DataFrame, config:
     data = attach(sources, strengths, xs, "point_id", config.precision).filter(F.col("transform_id").between(0, active - 1))
     goals = targets.select("target_id", *[rounded(F.col(s), config.precision).alias(s) for s in ss])
     re, im = rotate(F.col("re"), F.col("im"), phase([F.col(x) for x in xs], [F.col(s) for s in ss], config.sign))
-    terms = data.crossJoin(goals).select("transform_id", "target_id", "point_id", re.alias("re"), im.alias("im"))
+    terms = dealt_out(data).crossJoin(goals).select("transform_id", "target_id", "point_id", re.alias("re"), im.alias("im"))
     zeros = transform_ids(spark, active).crossJoin(goals).select("transform_id", "target_id", F.lit(-1).cast("long").alias("point_id"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
     return _sums(terms.unionByName(zeros), ["transform_id", "target_id"], deterministic, "point_id")
 

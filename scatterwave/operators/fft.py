@@ -86,3 +86,35 @@ def fft_distributed(grid: DataFrame, shape, sign: int) -> DataFrame:
 
 def fft_grid(grid: DataFrame, shape, sign: int) -> DataFrame:
     return fft_single(grid, shape, sign) if math.prod(shape) <= TASK_CELLS else fft_distributed(grid, shape, sign)
+
+
+def uniform_fft(values: DataFrame, id_col: str, index_col: str, n: int, inverse: bool = False, normalization: str = "none") -> DataFrame:
+    """Fast uniform transform of rows ``(id, index 0..n-1, re, im)``: ``id, k 0..n-1, re, im``; absent indices count as zero.
+
+    ``normalization``: none, forward or inverse (1/n in that direction only), orthogonal (1/sqrt n). A row of n numbers
+    is one array, and the arrays of a batch are transformed together, so n is bounded by ``TASK_CELLS``; longer ones go
+    through ``fft_distributed``.
+    """
+    ship(values.sparkSession)
+    scale = {"none": 1.0, "orthogonal": n**-0.5, "forward": 1.0 if inverse else 1.0 / n, "inverse": 1.0 / n if inverse else 1.0}[normalization]
+    sign, kind = 1 if inverse else -1, dict(values.dtypes)[id_col]
+    if n > TASK_CELLS:
+        raise ValueError(f"{n} is beyond {TASK_CELLS}")
+    packed = values.groupBy(id_col).agg(F.collect_list(F.struct(F.col(index_col).cast("long").alias("i"), "re", "im")).alias("v"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        step = max(1, TASK_CELLS // 16 // n)
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                own = batch.slice(a, step)
+                lists = own.column(1)
+                flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                grid = np.zeros((own.num_rows, n), complex)
+                grid[np.repeat(np.arange(own.num_rows), sizes), flat.field("i").to_numpy()] = flat.field("re").to_numpy() + 1j * flat.field("im").to_numpy()
+                out = fft_array(grid, sign, axes=(1,)) * scale
+                ids = own.column(0).take(pa.array(np.repeat(np.arange(own.num_rows), n)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(n, dtype=np.int32), own.num_rows)), pa.array(out.real.ravel()), pa.array(out.imag.ravel())], [id_col, "k", "re", "im"])
+
+    return packed.mapInArrow(run, f"`{id_col}` {kind}, k int, re double, im double")

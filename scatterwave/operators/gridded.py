@@ -13,10 +13,10 @@ from scatterwave.config import TransformConfig
 from scatterwave.functions.columns import kernel_at, linear_index
 from scatterwave.functions.kernel import Kernel, axis_factors, layout_for, signed_modes
 from scatterwave.operators import fft
-from scatterwave.operators.direct import attach, rounded
+from scatterwave.operators.direct import attach, fold, rounded
 from scatterwave.operators.modes import axis_names, mode_table, transform_ids
 from scatterwave.operators.spread import scatter_batch, spread, with_support
-from scatterwave.runtime import ship
+from scatterwave.runtime import dealt_out, ship
 
 #: Grid cells over all transforms that are sent to every worker; above it grids stay rows and are joined.
 BROADCAST_CELLS = 2**22
@@ -58,7 +58,7 @@ def type1(points: DataFrame, strengths: DataFrame, config: TransformConfig, acti
     spark = points.sparkSession
     data = attach(points, strengths, axis_names("x", config.rank), "point_id", config.precision).filter(F.col("transform_id").between(0, active - 1))
     if deterministic:
-        grid = _ordered_grid(data, layout)
+        grid = ordered_grid(data, layout)
     else:
         grid = spread(data, layout, active, strategy)
     spectrum = fft.fft_grid(grid, layout.shape, config.sign)
@@ -68,7 +68,7 @@ def type1(points: DataFrame, strengths: DataFrame, config: TransformConfig, acti
     return out.select("transform_id", "lin", *ks, value("re"), value("im"))
 
 
-def _ordered_grid(data: DataFrame, layout) -> DataFrame:
+def ordered_grid(data: DataFrame, layout) -> DataFrame:
     """Blocks of 1,024 ids are spread each on its own, in id order, then added in block order: both orders are fixed."""
     ship(data.sparkSession)
     kernel, shape, total = layout.kernel, layout.shape, layout.cells
@@ -76,16 +76,14 @@ def _ordered_grid(data: DataFrame, layout) -> DataFrame:
     schema = "transform_id int, block long, cell long, re double, im double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id", kind="stable")
+        pdf = pdf.sort_values(["point_id", *names, "re", "im"], kind="stable")
         cells, w = scatter_batch([pdf[n].to_numpy(float) for n in names], shape, kernel)
         at, inverse = np.unique(cells.ravel(), return_inverse=True)
         re, im = (np.bincount(inverse, weights=(w * pdf[c].to_numpy(float)[:, None]).ravel()) for c in ("re", "im"))
         return pd.DataFrame({"transform_id": np.full(len(at), pdf["transform_id"].iloc[0], np.int32), "block": np.full(len(at), pdf["block"].iloc[0]), "cell": at, "re": re, "im": im})
 
     blocks = data.withColumn("block", F.floor(F.col("point_id") / 1024)).groupBy("transform_id", "block").applyInPandas(run, schema)
-    items = F.sort_array(F.collect_list(F.struct("block", "re", "im")))
-    fold = lambda c: F.aggregate(F.col("items"), F.lit(0.0), lambda acc, s: acc + s[c]).alias(c)
-    return blocks.groupBy("transform_id", "cell").agg(items.alias("items")).select("transform_id", "cell", fold("re"), fold("im"))
+    return fold(blocks, ["transform_id", "cell"], "block")
 
 
 def coefficient_grid(modes: DataFrame, config: TransformConfig, active: int) -> DataFrame:
@@ -97,8 +95,11 @@ def coefficient_grid(modes: DataFrame, config: TransformConfig, active: int) ->
     return rows.select("transform_id", cell_of_mode(config).alias("cell"), (F.col("re") * F.col("amp")).alias("re"), (F.col("im") * F.col("amp")).alias("im"))
 
 
-def interpolate_broadcast(points: DataFrame, grids: np.ndarray, shape, kernel: Kernel, names: list[str], id_col: str) -> DataFrame:
-    """Gather from dense grids that every worker holds (``grids``: transform x cells); points are never shuffled."""
+def interpolate_broadcast(points: DataFrame, grids: np.ndarray, shape, kernel: Kernel, names: list[str], id_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Gather from dense grids that every worker holds (``grids``: transform x cells); points are never shuffled.
+
+    ``carry``: columns of the points that go along with each result.
+    """
     spark = points.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(grids)
@@ -112,28 +113,33 @@ def interpolate_broadcast(points: DataFrame, grids: np.ndarray, shape, kernel: K
                 cells, w = scatter_batch([own[n].to_numpy(float) for n in names], shape, kernel)
                 for t in range(len(grid)):
                     c = np.einsum("ij,ij->i", grid[t][cells], w)
-                    yield pd.DataFrame({"transform_id": np.full(len(own), t, np.int32), id_col: own[id_col].to_numpy(), "re": c.real, "im": c.imag})
+                    yield pd.DataFrame({"transform_id": np.full(len(own), t, np.int32), **{k: own[k].to_numpy() for k in kept}, "re": c.real, "im": c.imag})
 
-    kind = dict(points.dtypes)[id_col]
-    return points.select(id_col, *names).mapInPandas(run, f"transform_id int, {id_col} {kind}, re double, im double")
+    kept, kinds = [id_col, *carry], dict(points.dtypes)
+    return dealt_out(points.select(*kept, *names)).mapInPandas(run, "transform_id int, " + ", ".join(f"{k} {kinds[k]}" for k in kept) + ", re double, im double")
 
 
-def interpolate_relational(points: DataFrame, grid: DataFrame, layout, active: int, id_col: str, prefix: str = "x") -> DataFrame:
-    """Gather as a join on the cell, for grids too large to send; all built-in operators."""
+def interpolate_relational(points: DataFrame, grid: DataFrame, layout, active: int, id_col: str, prefix: str = "x", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Gather as a join on the cell, for grids too large to send; all built-in operators.
+
+    Points are told apart by their row, so those that share an id each have a result. A point's terms are added in the
+    order of its cells, whatever the layout. Cells without a row count as zero.
+    """
     kernel, rank = layout.kernel, len(layout.shape)
     spark = points.sparkSession
-    offsets = spark.range(kernel.width**rank)
-    for d in range(rank):
-        offsets = offsets.withColumn(f"o{d}", F.pmod(F.floor(F.col("id") / F.lit(kernel.width**d)), F.lit(kernel.width)))
-    rows = with_support(points, layout, prefix).crossJoin(F.broadcast(offsets.drop("id")))
+    kept = [id_col, *carry]
+    rows = with_support(points.withColumn("row", F.monotonically_increasing_id()), layout, prefix)
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(kernel.width**rank - 1).cast("long"))))
     weight, cell, stride = F.lit(1.0), F.lit(0).cast("long"), 1
     for d, length in enumerate(layout.shape):
-        at = F.col(f"start{d}") + F.col(f"o{d}")
+        at = F.col(f"start{d}") + F.pmod(F.floor(F.col("o") / F.lit(kernel.width**d)), F.lit(kernel.width))
         weight, cell, stride = weight * kernel_at(F.col(f"p{d}"), at, kernel), cell + F.pmod(at, F.lit(length)) * F.lit(stride), stride * length
-    terms = rows.select(id_col, cell.alias("cell"), weight.alias("w")).join(grid, "cell")
-    terms = terms.select("transform_id", id_col, (F.col("re") * F.col("w")).alias("re"), (F.col("im") * F.col("w")).alias("im"))
-    zeros = transform_ids(spark, active).crossJoin(points.select(id_col)).select("transform_id", id_col, F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
-    return terms.unionByName(zeros).groupBy("transform_id", id_col).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    terms = rows.select("row", *kept, "o", cell.alias("cell"), weight.alias("w")).crossJoin(F.broadcast(transform_ids(spark, active)))  # one row a transform
+    met = terms.join(grid, ["transform_id", "cell"], "left")
+    value = lambda c: (F.coalesce(F.col(c), F.lit(0.0)) * F.col("w")).alias(c)
+    items = F.sort_array(F.collect_list(F.struct("o", value("re"), value("im")))).alias("items")  # width ** rank of them
+    total = lambda c: F.aggregate("items", F.lit(0.0), lambda acc, s: acc + s[c]).alias(c)
+    return met.groupBy("transform_id", "row", *kept).agg(items).select("transform_id", *kept, total("re"), total("im"))
 
 
 def gather_grids(grid: DataFrame, cells: int, active: int) -> np.ndarray:
@@ -144,19 +150,19 @@ def gather_grids(grid: DataFrame, cells: int, active: int) -> np.ndarray:
     return out
 
 
-def type2(points: DataFrame, modes: DataFrame, config: TransformConfig, active: int | None = None) -> DataFrame:
-    """Same rows as the direct type 2, to within the tolerance. The size of the grid picks the way."""
+def type2(points: DataFrame, modes: DataFrame, config: TransformConfig, active: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Same rows as the direct type 2, to within the tolerance, one for each row of points. The size of the grid picks the way."""
     active = config.check_active_batch(active)
     layout, xs = layout_for(config), axis_names("x", config.rank)
     grid = coefficient_grid(modes, config, active)
-    pts = points.select("point_id", *[rounded(F.col(x), config.precision).alias(x) for x in xs])
+    pts = points.select("point_id", *carry, *[rounded(F.col(x), config.precision).alias(x) for x in xs])
     if layout.cells * active <= BROADCAST_CELLS:
         held = gather_grids(grid, layout.cells, active)
         for t in range(active):
             held[t] = fft.fft_array(held[t].reshape(layout.shape[::-1]), config.sign).ravel()
-        return interpolate_broadcast(pts, held, layout.shape, layout.kernel, xs, "point_id")
+        return interpolate_broadcast(pts, held, layout.shape, layout.kernel, xs, "point_id", carry)
     spectrum = fft.fft_grid(grid, layout.shape, config.sign)
-    return interpolate_relational(pts, spectrum, layout, active, "point_id")
+    return interpolate_relational(pts, spectrum, layout, active, "point_id", carry=carry)
 
 
 def expected_cells(config: TransformConfig) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scatterwave.functions.columns import grid_position, kernel_at, support_start
 from scatterwave.functions.kernel import Kernel, Layout, support
-from scatterwave.runtime import ship
+from scatterwave.runtime import dealt_out, ship
 
 #: Cells of a task's private dense grid over all transforms; above it the relational way is taken.
 DENSE_CELLS = 2**22
@@ -106,12 +106,36 @@ def spread_dense(data: DataFrame, layout: Layout, prefix: str = "x") -> DataFram
                 j = at[i : i + 100_000]
                 yield pd.DataFrame({"transform_id": np.full(len(j), t, np.int32), "cell": j, "re": grid[0, j], "im": grid[1, j]})
 
-    parts = data.select("transform_id", "re", "im", *names).mapInPandas(run, GRID_SCHEMA)
+    parts = dealt_out(data.select("transform_id", "re", "im", *names)).mapInPandas(run, GRID_SCHEMA)
+    return parts.groupBy("transform_id", "cell").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+def spread_sparse(data: DataFrame, layout: Layout, prefix: str = "x") -> DataFrame:
+    """For ranks above 3 and grids too large for a task: each batch adds up the cells that it touches, and no more.
+
+    Memory is bounded by a batch's terms (2^20 at a time, or one point's), whatever the grid.
+    """
+    ship(data.sparkSession)
+    kernel, shape = layout.kernel, layout.shape
+    names = [f"{prefix}{d}" for d in range(len(shape))]
+    step = max(1, 2**20 // kernel.width ** len(shape))
+
+    def run(batches):
+        for pdf in batches:
+            for t, part in pdf.groupby("transform_id", sort=False):
+                for i in range(0, len(part), step):
+                    own = part.iloc[i : i + step]
+                    cells, w = scatter_batch([own[n].to_numpy(float) for n in names], shape, kernel)
+                    at, inverse = np.unique(cells.ravel(), return_inverse=True)
+                    re, im = (np.bincount(inverse, weights=(w * own[c].to_numpy(float)[:, None]).ravel()) for c in ("re", "im"))
+                    yield pd.DataFrame({"transform_id": np.full(len(at), t, np.int32), "cell": at, "re": re, "im": im})
+
+    parts = dealt_out(data.select("transform_id", "re", "im", *names)).mapInPandas(run, GRID_SCHEMA)
     return parts.groupBy("transform_id", "cell").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def spread(data: DataFrame, layout: Layout, active: int = 1, strategy: str = "auto") -> DataFrame:
-    """``strategy``: dense, relational, or auto: dense while a task's private grids fit, relational up to rank 3 beyond."""
+    """``strategy``: dense, relational, sparse, or auto: dense while a task's private grids fit; beyond, relational up to rank 3 and sparse above."""
     if strategy == "auto":
-        strategy = "dense" if layout.cells * active <= DENSE_CELLS or len(layout.shape) > 3 else "relational"
-    return spread_dense(data, layout) if strategy == "dense" else spread_relational(data, layout)
+        strategy = "dense" if layout.cells * active <= DENSE_CELLS else "relational" if len(layout.shape) <= 3 else "sparse"
+    return {"dense": spread_dense, "relational": spread_relational, "sparse": spread_sparse}[strategy](data, layout)

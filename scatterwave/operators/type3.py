@@ -89,19 +89,15 @@ def prepare_sources(data: DataFrame, config: Type3Config) -> DataFrame:
 
 def prepare_targets(targets: DataFrame, config: Type3Config) -> DataFrame:
     """Scaled frequencies ``x0..`` and the factor ``fre, fim`` that undoes the kernel and the sources' centre."""
-    kernel, axes = plan_axes(config)
+    _, axes = plan_axes(config)
     ship(targets.sparkSession)
-    ss, sign, rank = axis_names("s", config.rank), config.sign, config.rank
+    ss, rank = axis_names("s", config.rank), config.rank
 
     def run(batches):
         for pdf in batches:
-            turn, fade, out = np.zeros(len(pdf)), np.ones(len(pdf)), {"target_id": pdf["target_id"].to_numpy()}
-            for d, a in enumerate(axes):
-                s = pdf[ss[d]].to_numpy(float)
-                out[f"x{d}"] = rescale_target(s, a)
-                turn += a.source_center * (s - a.target_center)
-                fade *= continuous_kernel_fourier(out[f"x{d}"], kernel)
-            factor = np.exp(1j * sign * turn) / fade
+            s = pdf[ss].to_numpy(float)
+            out = {"target_id": pdf["target_id"].to_numpy()} | {f"x{d}": rescale_target(s[:, d], a) for d, a in enumerate(axes)}
+            factor = post_phase(s, config)
             yield pd.DataFrame(out | {"fre": factor.real, "fim": factor.imag})
 
     kind = dict(targets.dtypes)["target_id"]
@@ -109,8 +105,11 @@ def prepare_targets(targets: DataFrame, config: Type3Config) -> DataFrame:
     return targets.select("target_id", *[rounded(F.col(s), config.precision).alias(s) for s in ss]).mapInPandas(run, schema)
 
 
-def type3(sources: DataFrame, strengths: DataFrame, targets: DataFrame, config: Type3Config, active: int | None = None, prepared: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Same rows as the direct type 3, to within the tolerance; ``prepared``: sources with strengths, and targets."""
+def type3(sources: DataFrame, strengths: DataFrame, targets: DataFrame, config: Type3Config, active: int | None = None, prepared: tuple[DataFrame, DataFrame] | None = None, deterministic: bool = False) -> DataFrame:
+    """Same rows as the direct type 3, to within the tolerance, one for each row of targets; targets are never shuffled
+    while the inner grid can be sent. ``prepared``: sources with strengths, and targets. ``deterministic``: sources are
+    spread in id order, so the bits do not depend on the layout.
+    """
     from scatterwave.config import TransformConfig
 
     active = config.check_active_batch(active)
@@ -121,7 +120,7 @@ def type3(sources: DataFrame, strengths: DataFrame, targets: DataFrame, config:
         data = attach(sources, strengths, axis_names("x", config.rank), "point_id", config.precision).filter(F.col("transform_id").between(0, active - 1))
         prepared = prepare_sources(data, config), prepare_targets(targets, config)
     data, goals = prepared
-    grid = spread(data, outer, active)
+    grid = gridded.ordered_grid(data, outer) if deterministic else spread(data, outer, active)
     # Cell i of the outer grid is mode i - length/2 of the inner transform.
     modes, stride = grid, 1
     for d, n in enumerate(shape):
@@ -129,6 +128,22 @@ def type3(sources: DataFrame, strengths: DataFrame, targets: DataFrame, config:
         stride *= n
     inner = TransformConfig(shape, batch=active, eps=config.eps, isign=config.sign, sigma=config.sigma)
     layout_for(inner)
-    raw = gridded.type2(goals.withColumnRenamed("target_id", "point_id"), modes, inner, active).withColumnRenamed("point_id", "target_id")
-    out = raw.join(goals.select("target_id", "fre", "fim"), "target_id")
-    return out.select("transform_id", "target_id", (F.col("re") * F.col("fre") - F.col("im") * F.col("fim")).alias("re"), (F.col("re") * F.col("fim") + F.col("im") * F.col("fre")).alias("im"))
+    out = gridded.type2(goals.withColumnRenamed("target_id", "point_id"), modes, inner, active, ("fre", "fim"))
+    re, im = F.col("re") * F.col("fre") - F.col("im") * F.col("fim"), F.col("re") * F.col("fim") + F.col("im") * F.col("fre")
+    return out.select("transform_id", F.col("point_id").alias("target_id"), re.alias("re"), im.alias("im"))
+
+
+def axes_of(config: Type3Config) -> list[dict[str, float]]:
+    """The planned geometry of each axis: half-widths and centres of both sets, length, spacing and scale of the grid."""
+    from dataclasses import asdict
+
+    return [asdict(a) for a in plan_axes(config)[1]]
+
+
+def post_phase(s, config: Type3Config):
+    """Factor that undoes the kernel and the sources' centre at frequencies ``s`` (targets x axes), as numpy."""
+    kernel, axes = plan_axes(config)
+    s = np.asarray(s, float)
+    turn = sum(a.source_center * (s[:, d] - a.target_center) for d, a in enumerate(axes))
+    fade = np.prod([continuous_kernel_fourier(rescale_target(s[:, d], a), kernel) for d, a in enumerate(axes)], axis=0)
+    return np.exp(1j * config.sign * turn) / fade

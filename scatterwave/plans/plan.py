@@ -18,7 +18,7 @@ from scatterwave.operators import direct, gridded, type3
 from scatterwave.operators.direct import attach, rounded
 from scatterwave.operators.modes import axis_names
 from scatterwave.operators.spread import bin_sorted
-from scatterwave.operators.validate import check_complex, check_lengths, check_points, check_type3
+from scatterwave.operators.validate import check_attached, check_complex, check_lengths, check_modes, check_points, check_type3
 
 #: A direct term costs about this many gridded ones (sine and cosine against a multiply-add).
 DIRECT_COST = 8.0
@@ -47,6 +47,7 @@ class PreparedPoints:
 class PreparedType3:
     sources: DataFrame
     targets: DataFrame
+    goals: DataFrame
     key: Type3Config
 
     def unpersist(self) -> None:
@@ -105,7 +106,7 @@ class Plan:
         goals = type3.prepare_targets(targets, self.config).persist(StorageLevel.MEMORY_AND_DISK)
         src.count(), goals.count()
         self._timed("prepare", began)
-        return PreparedType3(src, goals, self.config)
+        return PreparedType3(src, goals, targets, self.config)
 
     def set_points(self, points: DataFrame, targets: DataFrame | None = None) -> Plan:
         self.unpersist()
@@ -121,7 +122,9 @@ class Plan:
         if prepared.key != (self.config if self.kind == 3 else self.key):
             raise TransformError(TransformError.POINT_SET, reason="prepared for another plan")
         began = time.time()
-        if self.strict and self.kind != 2:
+        if self.strict and self.kind == 2:
+            check_modes(values, self.config, active)
+        elif self.strict:
             points = prepared.sources if self.kind == 3 else prepared.points
             check_lengths(points, values, "point_id", active)
             check_complex(values, "point_id")
@@ -129,7 +132,10 @@ class Plan:
         began = time.time()
         if self.kind == 3:
             data = attach(prepared.sources, values, axis_names("x", self.config.rank), "point_id", self.config.precision)
-            out = type3.type3(None, None, None, self.config, active, (type3.prepare_sources(data, self.config), prepared.targets))
+            if method == "direct":
+                out = direct.type3(prepared.sources, values, prepared.goals, self.config, active, deterministic)
+            else:
+                out = type3.type3(None, None, None, self.config, active, (type3.prepare_sources(data, self.config), prepared.targets), deterministic)
         else:
             way = choose_method(self.config, prepared.count) if method == "auto" else method
             if self.kind == 1:
@@ -141,20 +147,41 @@ class Plan:
         self._timed("plan", began)
         return out
 
-    def transform(self, points: DataFrame, values: DataFrame, targets: DataFrame | None = None, active: int | None = None, method: str = "auto") -> DataFrame:
-        """One call without persisting the point set."""
-        if self.kind == 3:
-            if self.strict:
+    def transform(self, points: DataFrame, values: DataFrame, targets: DataFrame | None = None, active: int | None = None, method: str = "auto", deterministic: bool = False) -> DataFrame:
+        """One call without persisting the point set. The checks and the results are those of ``set_points`` and ``execute``."""
+        active = self.config.check_active_batch(active)
+        began = time.time()
+        if self.strict:
+            if self.kind == 3:
                 check_type3(points, "point_id", "x", self.config.source_bounds)
                 check_type3(targets, "target_id", "s", self.config.target_bounds)
-            run = direct.type3 if method == "direct" else type3.type3
-            return run(points, values, targets, self.config, active)
-        if self.strict:
-            check_points(points, self.config.rank)
+            else:
+                check_points(points, self.config.rank)
+            if self.kind == 2:
+                check_modes(values, self.config, active)
+            else:
+                check_attached(points, values, "point_id", active)
+                check_complex(values, "point_id")
+        self._timed("validate", began)
+        if self.kind == 3:
+            if method == "direct":
+                return direct.type3(points, values, targets, self.config, active, deterministic)
+            return type3.type3(points, values, targets, self.config, active, None, deterministic)
         if method == "auto":
             method = choose_method(self.config, points.count())
         run = {(1, "direct"): direct.type1, (1, "gridded"): gridded.type1, (2, "direct"): direct.type2, (2, "gridded"): gridded.type2}[self.kind, method]
-        return run(points, values, self.config, active)
+        return run(points, values, self.config, active, deterministic=deterministic) if self.kind == 1 else run(points, values, self.config, active)
+
+    def run(self, out: DataFrame, path: str | None = None) -> DataFrame:
+        """Computes a planned result, under the timing ``execute``: to parquet at ``path``, which is read back, or to nowhere."""
+        began = time.time()
+        if path is None:
+            out.write.format("noop").mode("overwrite").save()
+        else:
+            out.write.mode("overwrite").parquet(path)
+            out = out.sparkSession.read.parquet(path)
+        self._timed("execute", began)
+        return out
 
     def adjoint(self) -> Plan:
         """Types 1 and 2 are each other's adjoint under the opposite sign; type 3 also swaps its sets."""
@@ -163,11 +190,11 @@ class Plan:
     def fine_grid_shape(self) -> tuple[int, ...]:
         return tuple(a.length for a in type3.plan_axes(self.config)[1]) if self.kind == 3 else layout_for(self.config).shape
 
-    def expected_rows(self, points: int, active: int | None = None) -> dict[str, int]:
-        """Rows of input and output for a number of points (type 3: of sources; targets alike)."""
+    def expected_rows(self, points: int, active: int | None = None, targets: int | None = None) -> dict[str, int]:
+        """Rows of input and output for a number of points (type 3: of sources, and of ``targets``, alike unless given)."""
         active = self.config.check_active_batch(active)
         modes = 0 if self.kind == 3 else self.config.mode_count
-        into, out = {1: (points, modes), 2: (modes, points), 3: (points, points)}[self.kind]
+        into, out = {1: (points, modes), 2: (modes, points), 3: (points, points if targets is None else targets)}[self.kind]
         return {"points": points, "input": into * active, "output": out * active}
 
     def describe(self) -> dict:
@@ -178,6 +205,7 @@ class Plan:
         }
 
     def timings(self) -> dict[str, float]:
+        """Seconds so far by stage: prepare, validate, plan (building a lazy result) and execute (``run``)."""
         return dict(self._timings)
 
     def unpersist(self) -> None:

@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scatterwave.config import TransformConfig, Type3Config
 from scatterwave.functions import kernel as kern
 from scatterwave.functions.columns import es_kernel, join_df64, split_df64
-from scatterwave.operators import direct, gridded, type3
+from scatterwave.operators import direct, fft, gridded, type3
 from scatterwave.operators.modes import axis_names, mode_table
 from scatterwave.operators.spread import bin_histogram, bin_offsets, spread_relational
 from scatterwave.operators.validate import violations
+from scatterwave.plans import arrays, sql
+from scatterwave.plans.plan import AutoBoundsType3, Plan
 from scatterwave.sources.tables import event_points, lineitem_points, table
+from scatterwave.streaming.type1 import type1_stream
 
 SQL_EVENTS = (
     "(SELECT event_id AS point_id, event_type, user_id, value AS re, CAST((((date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts)"
@@ -51,14 +55,14 @@ def _sql_modes(n_modes, order: str = "centered") -> str:
     return f"(SELECT CAST({' + '.join(lin)} AS BIGINT) AS lin, {ks} FROM {', '.join(axes)})"
 
 
-def _sql_type1(points: str, n_modes, sign: int = 1, order: str = "centered", extra: str = "") -> str:
+def _sql_type1(points: str, n_modes, sign: int = 1, order: str = "centered", extra: str = "", digits: int = 6) -> str:
     rank = len(n_modes)
     angle = "(" + " + ".join(f"x{d} * k{d}" for d in range(rank)) + ")"
     ks = ", ".join(f"k{d}" for d in range(rank))
     return (
         f"WITH p AS (SELECT * FROM {points} WHERE 1 = 1 {extra}), m AS {_sql_modes(n_modes, order)}, n AS (SELECT coalesce(sum(abs(re)), 1.0) AS norm FROM p),"
         f" f AS (SELECT lin, {ks}, sum(re * cos({angle})) AS re, {sign} * sum(re * sin({angle})) AS im FROM m LEFT JOIN p ON TRUE GROUP BY ALL)"
-        f" SELECT lin, {ks}, round(coalesce(re, 0) / norm, 6) + 0.0 AS re, round(coalesce(im, 0) / norm, 6) + 0.0 AS im FROM f, n"
+        f" SELECT lin, {ks}, round(coalesce(re, 0) / norm, {digits}) + 0.0 AS re, round(coalesce(im, 0) / norm, {digits}) + 0.0 AS im FROM f, n"
     )
 
 
@@ -81,8 +85,7 @@ def _lines(n_modes, run=direct.type1, **options):
 
 
 def t1_no_points(spark, sf_dir):
-    return _type1(event_points(spark, sf_dir).filter("point_id < 0"), TransformConfig((6, 4)[:1]))
-
+    return _type1(event_points(spark, sf_dir).filter("point_id < 0"), TransformConfig((6,)))
 
 
 def _typed_events(spark, sf_dir):
@@ -118,11 +121,11 @@ def _coefficients(spark: SparkSession, n_modes, batch: int = 1) -> DataFrame:
     return modes.withColumn("re", 1.0 / (1.0 + F.col("lin") + F.col("transform_id"))).withColumn("im", 0.5 / (2.0 + F.col("lin")))
 
 
-def _sql_type2(points: str, n_modes, batch: int = 1, keys: str = "point_id") -> str:
+def _sql_type2(points: str, n_modes, batch: int = 1, keys: str = "point_id", digits: int = 6) -> str:
     angle = "(" + " + ".join(f"x{d} * k{d}" for d in range(len(n_modes))) + ")"
     return (
         f"WITH f AS (SELECT *, CAST(t AS INTEGER) AS transform_id, 1.0::DOUBLE / (1.0::DOUBLE + lin + t) AS fre, 0.5::DOUBLE / (2.0::DOUBLE + lin) AS fim FROM {_sql_modes(n_modes)}, generate_series(0, {batch - 1}) g(t))"
-        f" SELECT transform_id, {keys}, round(sum(fre * cos({angle}) - fim * sin({angle})), 6) + 0.0 AS re, round(sum(fre * sin({angle}) + fim * cos({angle})), 6) + 0.0 AS im FROM {points}, f GROUP BY transform_id, {keys}"
+        f" SELECT transform_id, {keys}, round(sum(fre * cos({angle}) - fim * sin({angle})), {digits}) + 0.0 AS re, round(sum(fre * sin({angle}) + fim * cos({angle})), {digits}) + 0.0 AS im FROM {points}, f GROUP BY transform_id, {keys}"
     )
 
 
@@ -185,15 +188,31 @@ def uniform_dft_embeddings(spark, sf_dir):
     return out.select("vec_id", "k", _round(F.col("re"), "re"), _round(F.col("im"), "im"))
 
 
-def roundtrip_adjoint_gap(spark, sf_dir):
-    """<type2(f), c> against <f, type1 with the opposite sign (c)>; real and imaginary parts, normalised."""
+def uniform_fft_embeddings(spark, sf_dir):
+    """The fast uniform transform over rows, inverse direction, orthogonal normalisation."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    values = vectors.select("vec_id", "i", F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    out = fft.uniform_fft(values, "vec_id", "i", 64, inverse=True, normalization="orthogonal")
+    return out.select("vec_id", "k", _round(F.col("re"), "re"), _round(F.col("im"), "im"))
+
+
+def fft_distributed_1d(spark, sf_dir):
+    """A grid's transform axis by axis, in four steps, over rows."""
+    cells = spark.range(60).select(F.lit(0).alias("transform_id"), F.col("id").alias("cell"), (1.0 / (1.0 + F.col("id"))).alias("re"), (0.5 / (2.0 + F.col("id"))).alias("im"))
+    out = fft.fft_distributed(cells, (60,), 1)
+    return out.select(F.col("cell").cast("long").alias("cell"), _round(F.col("re"), "re"), _round(F.col("im"), "im"))
+
+
+def roundtrip_adjoint(spark, sf_dir):
+    """<type2(f), c> and <f, type1 with the opposite sign (c)>, both divided by the strengths' magnitude."""
     config, points = TransformConfig((12,)), event_points(spark, sf_dir)
     f = _coefficients(spark, (12,))
     left = direct.type2(points, f, config).join(points.select("point_id", F.col("re").alias("c")), "point_id").agg(F.sum(F.col("re") * F.col("c")).alias("a_re"), F.sum(F.col("im") * F.col("c")).alias("a_im"))
     g = direct.type1(points, points, config.adjoint()).select("k0", F.col("re").alias("g_re"), F.col("im").alias("g_im"))
     right = f.join(g, "k0").agg(F.sum(F.col("re") * F.col("g_re") + F.col("im") * F.col("g_im")).alias("b_re"), F.sum(F.col("im") * F.col("g_re") - F.col("re") * F.col("g_im")).alias("b_im"))
-    size = F.sqrt(F.col("a_re") ** 2 + F.col("a_im") ** 2)
-    return left.crossJoin(right).select((F.abs(F.col("a_re") - F.col("b_re")) + F.abs(F.col("a_im") - F.col("b_im")) < 1e-9 * size).alias("adjoint"))
+    norm = points.agg(F.sum(F.abs("re")).alias("norm"))
+    both = left.crossJoin(right).crossJoin(norm)  # one row each
+    return both.select(*[_round(F.col(c) / F.col("norm"), c) for c in ("a_re", "a_im", "b_re", "b_im")])
 
 
 def es_kernel_table(spark, sf_dir):
@@ -251,40 +270,146 @@ def df64_split(spark, sf_dir):
     return rows.select("event_id", (F.abs(back - F.col("value")) <= F.abs(F.col("value")) * 2.0**-44).alias("kept"), _round(F.col("hi").cast("double"), "hi", 4))
 
 
-def _within(exact: DataFrame, fast: DataFrame, keys: list[str], norm: DataFrame, eps: float) -> DataFrame:
-    both = exact.join(fast.select(*keys, F.col("re").alias("f_re"), F.col("im").alias("f_im")), keys).crossJoin(F.broadcast(norm))
-    gap = F.sqrt((F.col("re") - F.col("f_re")) ** 2 + (F.col("im") - F.col("f_im")) ** 2)
-    return both.select(*keys, (gap <= 10 * eps * F.col("norm")).alias("within_tolerance"))
+#: Tolerance of fast transforms that are held against exact values of SQL, and the places that are compared.
+FINE, PLACES = 1e-12, 5
+
+
+def t1_fast(spark, sf_dir):
+    points, config = event_points(spark, sf_dir), TransformConfig((64,), eps=FINE)
+    return _normal(gridded.type1(points, points, config), points, ["lin", "k0"], PLACES)
 
 
-def _norm(points):
-    return points.agg(F.sum(F.abs("re")).alias("norm"))
+def t1_ordered(spark, sf_dir):
+    points, config = event_points(spark, sf_dir), TransformConfig((16,))
+    return _normal(direct.type1(points, points, config, deterministic=True), points, ["lin", "k0"])
 
 
-def t1_fast_within_tol(spark, sf_dir):
-    points, config = event_points(spark, sf_dir), TransformConfig((64,), eps=1e-9)
-    return _within(direct.type1(points, points, config), gridded.type1(points, points, config), ["lin"], _norm(points), 1e-9)
+def t1_ordered_fast(spark, sf_dir):
+    points, config = event_points(spark, sf_dir), TransformConfig((16,), eps=FINE)
+    return _normal(gridded.type1(points, points, config, deterministic=True), points, ["lin", "k0"], PLACES)
 
 
-def t1_ordered_within_tol(spark, sf_dir):
-    points, config = event_points(spark, sf_dir), TransformConfig((16,), eps=1e-9)
-    ordered = direct.type1(points, points, config, deterministic=True)
-    return _within(ordered, gridded.type1(points, points, config, deterministic=True), ["lin"], _norm(points), 1e-9)
+def _values(out: DataFrame, keys: list[str]) -> DataFrame:
+    return out.select(*keys, _round(F.col("re"), "re", PLACES), _round(F.col("im"), "im", PLACES))
 
 
-def t2_fast_within_tol(spark, sf_dir):
-    points, config, f = event_points(spark, sf_dir), TransformConfig((64,), eps=1e-9), _coefficients(spark, (64,))
-    return _within(direct.type2(points, f, config), gridded.type2(points, f, config), ["point_id"], f.agg(F.sum("re").alias("norm")), 1e-9)
+def t2_fast(spark, sf_dir):
+    points, config, f = event_points(spark, sf_dir), TransformConfig((64,), eps=FINE), _coefficients(spark, (64,))
+    return _values(gridded.type2(points, f, config), ["transform_id", "point_id"])
 
 
-def t3_fast_within_tol(spark, sf_dir):
+def t2_fast_joined(spark, sf_dir):
+    """The grid stays rows and points are joined to its cells."""
+    config = TransformConfig((64,), eps=1e-10)
+    layout = kern.layout_for(config)
+    spectrum = fft.fft_distributed(gridded.coefficient_grid(_coefficients(spark, (64,)), config, 1), layout.shape, 1)
+    points = event_points(spark, sf_dir).select("point_id", "x0")
+    return _values(gridded.interpolate_relational(points, spectrum, layout, 1, "point_id"), ["transform_id", "point_id"])
+
+
+def t3_fast(spark, sf_dir):
     src, goals = _supplier_sources(spark, sf_dir), _customer_targets(spark, sf_dir)
-    config = Type3Config(type3.bounds_of(src, "x", 1), type3.bounds_of(goals, "s", 1), eps=1e-9)
-    return _within(direct.type3(src, src, goals, config), type3.type3(src, src, goals, config), ["target_id"], _norm(src), 1e-9)
+    config = Type3Config(type3.bounds_of(src, "x", 1), type3.bounds_of(goals, "s", 1), eps=FINE)
+    return _normal(type3.type3(src, src, goals, config), src, ["target_id"], PLACES)
+
 
+def t3_fast_2d(spark, sf_dir):
+    src, goals = _order_points(spark, sf_dir), _nation_targets(spark, sf_dir)
+    config = Type3Config(type3.bounds_of(src, "x", 2), type3.bounds_of(goals, "s", 2), eps=1e-10)
+    return _normal(type3.type3(src, src, goals, config, deterministic=True), src, ["target_id"], PLACES)
+
+
+def _heavy_points(spark, sf_dir):
+    """All events but every thousandth within 1e-3 of a centre: a cluster in one cell of the grid."""
+    near = 0.7 + F.col("x0") * 1e-4
+    return event_points(spark, sf_dir).withColumn("x0", F.when(F.pmod(F.col("point_id"), F.lit(1000)) == 0, F.col("x0")).otherwise(near))
+
+
+SQL_HEAVY = SQL_EVENTS.replace(" AS x0 FROM events)", " AS y FROM events)")
+SQL_HEAVY = f"(SELECT point_id, re, CASE WHEN point_id % 1000 = 0 THEN y ELSE 0.7::DOUBLE + y * 0.0001::DOUBLE END AS x0 FROM {SQL_HEAVY})"
+
+
+def t1_heavy_cluster(spark, sf_dir):
+    points, config = _heavy_points(spark, sf_dir), TransformConfig((64,), eps=FINE)
+    return _normal(gridded.type1(points, points, config), points, ["lin", "k0"], PLACES)
+
+
+def _high_rank(n_modes, run=direct.type1, **options):
+    """Suppliers as points of a high rank: axis d is the balance, scaled and shifted by d."""
+
+    def query(spark, sf_dir):
+        axes = [((F.col("s_acctbal") / 5000.0) * (1.0 - 0.1 * d) + 0.2 * d - 0.5).alias(f"x{d}") for d in range(len(n_modes))]
+        points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point_id"), *axes, F.lit(1.0).alias("re"), F.lit(0.0).alias("im"), F.lit(0).alias("transform_id"))
+        return _normal(run(points, points, TransformConfig(n_modes, **options)), points, ["lin", *axis_names("k", len(n_modes))], PLACES)
+
+    return query
 
-def _all_true(keys: str, source: str) -> str:
-    return f"SELECT {keys}, TRUE AS within_tolerance FROM {source}"
+
+def _sql_high_rank(rank: int) -> str:
+    axes = ", ".join(f"(s_acctbal / 5000.0::DOUBLE) * {1.0 - 0.1 * d!r}::DOUBLE + {0.2 * d!r}::DOUBLE - 0.5::DOUBLE AS x{d}" for d in range(rank))
+    return f"(SELECT s_suppkey AS point_id, 1.0::DOUBLE AS re, {axes} FROM supplier)"
+
+
+def t1_prepared(spark, sf_dir):
+    """A checked, sorted and kept point set, then two executions, of which the second is returned."""
+    points, plan = event_points(spark, sf_dir), Plan(1, TransformConfig((24,), eps=FINE))
+    plan.set_points(points)
+    plan.execute(points.withColumn("re", F.lit(1.0)), method="gridded")
+    out = plan.execute(points.select("transform_id", "point_id", "re", "im"), method="gridded")
+    return _normal(out, points, ["lin", "k0"], PLACES)
+
+
+def t2_prepared(spark, sf_dir):
+    """Points prepared for type 1 serve its adjoint, a type 2."""
+    points, one = event_points(spark, sf_dir), Plan(1, TransformConfig((24,), eps=FINE, isign=-1))
+    out = one.adjoint().execute(_coefficients(spark, (24,)), prepared=one.prepare_points(points), method="gridded")
+    return _values(out, ["transform_id", "point_id"])
+
+
+def t3_prepared(spark, sf_dir):
+    src, goals = _supplier_sources(spark, sf_dir), _customer_targets(spark, sf_dir)
+    plan = AutoBoundsType3(1, eps=FINE).set_points(src, goals)
+    return _normal(plan.execute(src.select("transform_id", "point_id", "re", "im")), src, ["target_id"], PLACES)
+
+
+def plan_dispatch(spark, sf_dir):
+    """One call of a plan for each kind, on small tables; the chooser picks the way."""
+    src, goals = _supplier_sources(spark, sf_dir), _nation_targets(spark, sf_dir).select("target_id", "s0")
+    points = src.withColumn("x0", F.col("x0") / 5.0)
+    one = Plan(1, TransformConfig((5,), eps=FINE)).transform(points, points).select(F.lit(1).alias("kind"), F.col("lin").alias("row"), "re", "im")
+    two = Plan(2, TransformConfig((5,), eps=FINE)).transform(points, _coefficients(spark, (5,))).select(F.lit(2), "point_id", "re", "im")
+    three = Plan(3, Type3Config(type3.bounds_of(src, "x", 1), type3.bounds_of(goals, "s", 1))).transform(src, src, goals, method="direct").select(F.lit(3), "target_id", "re", "im")
+    return _values(one.union(two).union(three), ["kind", "row"])
+
+
+def one_call_arrays(spark, sf_dir):
+    """Numpy in and out: the helpers are for arrays on the driver, here one of 25 points."""
+    x = np.arange(25) * 0.23 - 2.9
+    f = arrays.nufft1d1(x, np.cos(x) + 0j, 9, eps=FINE)
+    back = arrays.nufft1d2(x, f, eps=FINE)
+    third = arrays.nufft1d3(x, np.cos(x) + 0j, np.arange(7) * 1.7 - 5.0, eps=FINE)
+    rows = [(kind, i, float(v.real), float(v.imag)) for kind, a in ((1, f), (2, back), (3, third)) for i, v in enumerate(a)]
+    return _values(spark.createDataFrame(rows, "kind int, row long, re double, im double"), ["kind", "row"])
+
+
+def sql_functions(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT id, round(es_kernel(id / 8D - 4D, 7, 16.1D), 9) AS phi, mode_of_index(id, 65, true) AS fft, mode_of_index(id, 65, false) AS centered, round(grid_position(id / 7D - 4D, 50), 6) AS position, CAST(df64_hi(id / 10D) AS DOUBLE) + CAST(df64_lo(id / 10D) AS DOUBLE) - id / 10D < 1e-13 AS whole FROM range(65)")
+
+
+def sql_view(spark, sf_dir):
+    """Views in, a view out."""
+    event_points(spark, sf_dir).createOrReplaceTempView("scatterwave_points")
+    sql.nufft_view(spark, 1, "scatterwave_points", "scatterwave_points", "scatterwave_spectrum", n_modes=(6,))
+    return _normal(spark.table("scatterwave_spectrum"), event_points(spark, sf_dir), ["lin", "k0"])
+
+
+def t1_by_window(spark, sf_dir):
+    """The streaming operator over a bounded table: a transform for each hour."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    x = event_points(spark, sf_dir).select(F.col("point_id").alias("event_id"), "x0")
+    out = type1_stream(events.join(x, "event_id"), TransformConfig((4,)), ts="at", window="1 day")
+    return out.select(F.to_date("window.start").alias("day"), "lin", "n", _round(F.col("re"), "re", 4), _round(F.col("im"), "im", 4))
 
 
 def queries() -> dict:
@@ -300,18 +425,13 @@ def queries() -> dict:
         "t1_batch_by_event_type": t1_batch_by_event_type,
         "t1_grouped_by_user": t1_grouped_by_user,
         "t1_no_points": t1_no_points,
-        "t1_fast_within_tol": t1_fast_within_tol,
-        "t1_ordered_within_tol": t1_ordered_within_tol,
         "t2_1d_events": _type2_events(64),
         "t2_2d_orders": t2_2d_orders,
         "t2_batch": _type2_events(12, batch=3),
-        "t2_fast_within_tol": t2_fast_within_tol,
         "t3_1d_supplier_customer": t3_1d_supplier_customer,
         "t3_2d_orders": t3_2d_orders,
         "t3_bounds": t3_bounds,
-        "t3_fast_within_tol": t3_fast_within_tol,
         "uniform_dft_embeddings": uniform_dft_embeddings,
-        "roundtrip_adjoint_gap": roundtrip_adjoint_gap,
         "es_kernel_table": es_kernel_table,
         "mode_table_centered": _mode_table("centered"),
         "mode_table_fft": _mode_table("fft"),
@@ -321,6 +441,30 @@ def queries() -> dict:
         "bin_offsets": lambda spark, sf_dir: bin_offsets(_bins(spark, sf_dir)),
         "validate_points": validate_points,
         "df64_split": df64_split,
+        "t1_fast": t1_fast,
+        "t1_ordered": t1_ordered,
+        "t1_ordered_fast": t1_ordered_fast,
+        "t1_heavy_cluster": t1_heavy_cluster,
+        "t2_fast": t2_fast,
+        "t2_fast_joined": t2_fast_joined,
+        "t3_fast": t3_fast,
+        "t3_fast_2d": t3_fast_2d,
+        "t1_4d_fast": _high_rank((4, 3, 3, 2), run=gridded.type1, eps=1e-8),
+        "t1_4d_sparse": _high_rank((3, 2, 3, 2), run=lambda p, c, config: gridded.type1(p, c, config, strategy="sparse"), eps=1e-8),
+        "t1_5d": _high_rank((3, 2, 3, 2, 2)),
+        "t1_6d": _high_rank((4, 3, 2, 2, 2, 2)),
+        "t1_8d": _high_rank((3, 2, 2, 2, 2, 2, 2, 2)),
+        "t1_prepared": t1_prepared,
+        "t2_prepared": t2_prepared,
+        "t3_prepared": t3_prepared,
+        "plan_dispatch": plan_dispatch,
+        "one_call_arrays": one_call_arrays,
+        "uniform_fft_embeddings": uniform_fft_embeddings,
+        "fft_distributed_1d": fft_distributed_1d,
+        "roundtrip_adjoint": roundtrip_adjoint,
+        "sql_functions": sql_functions,
+        "sql_view": sql_view,
+        "t1_by_window": t1_by_window,
     }
 
 
@@ -347,18 +491,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "t1_grouped_by_user": f"SELECT user_id, k0, round(sum(re * cos(x0 * k0)) / sum(abs(re)), 6) + 0.0 AS re, round(sum(re * sin(x0 * k0)) / sum(abs(re)), 6) + 0.0 AS im FROM {SQL_EVENTS}, {_sql_modes((8,))} GROUP BY ALL",
         "t1_no_points": _sql_type1(SQL_EVENTS, (6,), extra="AND point_id < 0"),
-        "t1_fast_within_tol": _all_true("CAST(i AS BIGINT) AS lin", "generate_series(0, 63) g(i)"),
-        "t1_ordered_within_tol": _all_true("CAST(i AS BIGINT) AS lin", "generate_series(0, 15) g(i)"),
         "t2_1d_events": _sql_type2(SQL_EVENTS, (64,)),
         "t2_2d_orders": _sql_type2(SQL_ORDERS, (6, 5)),
         "t2_batch": _sql_type2(SQL_EVENTS, (12,), batch=3),
-        "t2_fast_within_tol": _all_true("event_id AS point_id", "events"),
         "t3_1d_supplier_customer": f"SELECT target_id, round(sum(cos(x0 * s0)) / count(*), 6) + 0.0 AS re, round(sum(sin(x0 * s0)) / count(*), 6) + 0.0 AS im FROM {sup}, {cust} GROUP BY target_id",
         "t3_2d_orders": f"SELECT target_id, round(sum(cos(x0 * s0 + x1 * s1)) / count(*), 6) + 0.0 AS re, round(sum(sin(x0 * s0 + x1 * s1)) / count(*), 6) + 0.0 AS im FROM {SQL_ORDERS}, {nation} GROUP BY target_id",
         "t3_bounds": f"SELECT 'sources' AS set, min(x0) AS lower, max(x0) AS upper FROM {sup} UNION ALL SELECT 'targets', min(s0), max(s0) FROM {cust}",
-        "t3_fast_within_tol": _all_true("c_custkey AS target_id", "customer"),
         "uniform_dft_embeddings": "WITH v AS (SELECT vec_id, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS re FROM embeddings, generate_series(1, 64) g(i)) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(re * cos((i * k % 64) * (-2.0::DOUBLE * 3.141592653589793::DOUBLE / 64))) / 64, 6) + 0.0 AS re, round(sum(re * sin((i * k % 64) * (-2.0::DOUBLE * 3.141592653589793::DOUBLE / 64))) / 64, 6) + 0.0 AS im FROM v, generate_series(0, 63) h(k) GROUP BY vec_id, k",
-        "roundtrip_adjoint_gap": "SELECT TRUE AS adjoint",
         "es_kernel_table": f"SELECT CAST(i AS BIGINT) AS i, round(CASE WHEN 1 - pow((i / 8.0::DOUBLE - 4) * 2 / {k.width}, 2) > 0 THEN exp({k.beta!r}::DOUBLE * (sqrt(1 - pow((i / 8.0::DOUBLE - 4) * 2 / {k.width}, 2)) - 1)) ELSE 0 END, 9) + 0.0 AS phi FROM generate_series(0, 64) g(i)",
         "mode_table_centered": f"SELECT * FROM {_sql_modes((7, 4))}",
         "mode_table_fft": f"SELECT * FROM {_sql_modes((7, 4), 'fft')}",
@@ -367,5 +506,54 @@ def oracle_sql() -> dict[str, str]:
         "bin_histogram": bins,
         "bin_offsets": f"SELECT bin, n, CAST(coalesce(sum(n) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM ({bins})",
         "validate_points": f"SELECT point_id, CAST(0 AS INTEGER) AS axis, round(x0, 6) + 0.0 AS value, 'out_of_range' AS kind FROM {sup} WHERE abs(x0) > 3.0::DOUBLE",
-        "df64_split": "SELECT event_id, TRUE AS kept, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 4) + 0.0 AS hi FROM events",
+        "df64_split": "SELECT event_id, abs(CAST(CAST(value AS FLOAT) AS DOUBLE) + CAST(CAST(value - CAST(CAST(value AS FLOAT) AS DOUBLE) AS FLOAT) AS DOUBLE) - value) <= abs(value) * pow(2.0::DOUBLE, -44) AS kept, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 4) + 0.0 AS hi FROM events",
+        "t1_fast": _sql_type1(SQL_EVENTS, (64,), digits=PLACES),
+        "t1_ordered": _sql_type1(SQL_EVENTS, (16,)),
+        "t1_ordered_fast": _sql_type1(SQL_EVENTS, (16,), digits=PLACES),
+        "t1_heavy_cluster": _sql_type1(SQL_HEAVY, (64,), digits=PLACES),
+        "t2_fast": _sql_type2(SQL_EVENTS, (64,), digits=PLACES),
+        "t2_fast_joined": _sql_type2(SQL_EVENTS, (64,), digits=PLACES),
+        "t3_fast": f"SELECT target_id, round(sum(cos(x0 * s0)) / count(*), {PLACES}) + 0.0 AS re, round(sum(sin(x0 * s0)) / count(*), {PLACES}) + 0.0 AS im FROM {sup}, {cust} GROUP BY target_id",
+        "t3_fast_2d": f"SELECT target_id, round(sum(cos(x0 * s0 + x1 * s1)) / count(*), {PLACES}) + 0.0 AS re, round(sum(sin(x0 * s0 + x1 * s1)) / count(*), {PLACES}) + 0.0 AS im FROM {SQL_ORDERS}, {nation} GROUP BY target_id",
+        "t1_4d_fast": _sql_type1(_sql_high_rank(4), (4, 3, 3, 2), digits=PLACES),
+        "t1_4d_sparse": _sql_type1(_sql_high_rank(4), (3, 2, 3, 2), digits=PLACES),
+        "t1_5d": _sql_type1(_sql_high_rank(5), (3, 2, 3, 2, 2), digits=PLACES),
+        "t1_6d": _sql_type1(_sql_high_rank(6), (4, 3, 2, 2, 2, 2), digits=PLACES),
+        "t1_8d": _sql_type1(_sql_high_rank(8), (3, 2, 2, 2, 2, 2, 2, 2), digits=PLACES),
+        "t1_prepared": _sql_type1(SQL_EVENTS, (24,), digits=PLACES),
+        "t2_prepared": _sql_type2(SQL_EVENTS, (24,), digits=PLACES),
+        "t3_prepared": f"SELECT target_id, round(sum(cos(x0 * s0)) / count(*), {PLACES}) + 0.0 AS re, round(sum(sin(x0 * s0)) / count(*), {PLACES}) + 0.0 AS im FROM {sup}, {cust} GROUP BY target_id",
+        "plan_dispatch": (
+            f"WITH p AS (SELECT point_id, x0 / 5.0::DOUBLE AS x FROM {sup}), f AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + lin) AS fre, 0.5::DOUBLE / (2.0::DOUBLE + lin) AS fim FROM {_sql_modes((5,))}),"
+            " a AS (SELECT 1 AS kind, lin AS row, sum(cos(x * k0)) AS re, sum(sin(x * k0)) AS im FROM p, f GROUP BY lin"
+            " UNION ALL SELECT 2, point_id, sum(fre * cos(x * k0) - fim * sin(x * k0)), sum(fre * sin(x * k0) + fim * cos(x * k0)) FROM p, f GROUP BY point_id"
+            f" UNION ALL SELECT 3, target_id, sum(cos(x0 * s0)), sum(sin(x0 * s0)) FROM {sup}, {nation} GROUP BY target_id)"
+            f" SELECT CAST(kind AS INTEGER) AS kind, row, round(re, {PLACES}) + 0.0 AS re, round(im, {PLACES}) + 0.0 AS im FROM a"
+        ),
+        "one_call_arrays": (
+            "WITH p AS (SELECT CAST(i AS BIGINT) AS i, i * 0.23::DOUBLE - 2.9::DOUBLE AS x FROM generate_series(0, 24) g(i)), f AS (SELECT CAST(k AS BIGINT) + 4 AS lin, k, sum(cos(x) * cos(x * k)) AS fre, sum(cos(x) * sin(x * k)) AS fim FROM p, generate_series(-4, 4) h(k) GROUP BY k),"
+            " a AS (SELECT 1 AS kind, lin AS row, fre AS re, fim AS im FROM f UNION ALL SELECT 2, i, sum(fre * cos(x * k) - fim * sin(x * k)), sum(fre * sin(x * k) + fim * cos(x * k)) FROM p, f GROUP BY i"
+            " UNION ALL SELECT 3, CAST(j AS BIGINT), sum(cos(x) * cos(x * (j * 1.7::DOUBLE - 5.0::DOUBLE))), sum(cos(x) * sin(x * (j * 1.7::DOUBLE - 5.0::DOUBLE))) FROM p, generate_series(0, 6) h(j) GROUP BY j)"
+            f" SELECT CAST(kind AS INTEGER) AS kind, row, round(re, {PLACES}) + 0.0 AS re, round(im, {PLACES}) + 0.0 AS im FROM a"
+        ),
+        "uniform_fft_embeddings": "WITH v AS (SELECT vec_id, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS re FROM embeddings, generate_series(1, 64) g(i)) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(re * cos((i * k % 64) * (2.0::DOUBLE * 3.141592653589793::DOUBLE / 64))) / 8, 6) + 0.0 AS re, round(sum(re * sin((i * k % 64) * (2.0::DOUBLE * 3.141592653589793::DOUBLE / 64))) / 8, 6) + 0.0 AS im FROM v, generate_series(0, 63) h(k) GROUP BY vec_id, k",
+        "fft_distributed_1d": (
+            "WITH c AS (SELECT i, 1.0::DOUBLE / (1.0::DOUBLE + i) AS re, 0.5::DOUBLE / (2.0::DOUBLE + i) AS im FROM generate_series(0, 59) g(i)), t AS (SELECT *, (i * k % 60) * (2.0::DOUBLE * 3.141592653589793::DOUBLE / 60) AS a FROM c, generate_series(0, 59) h(k))"
+            " SELECT CAST(k AS BIGINT) AS cell, round(sum(re * cos(a) - im * sin(a)), 6) + 0.0 AS re, round(sum(re * sin(a) + im * cos(a)), 6) + 0.0 AS im FROM t GROUP BY k"
+        ),
+        "roundtrip_adjoint": (
+            f"WITH p AS (SELECT * FROM {SQL_EVENTS}), f AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + lin) AS fre, 0.5::DOUBLE / (2.0::DOUBLE + lin) AS fim FROM {_sql_modes((12,))}),"
+            " s AS (SELECT sum(re * (fre * cos(x0 * k0) - fim * sin(x0 * k0))) AS a, sum(re * (fre * sin(x0 * k0) + fim * cos(x0 * k0))) AS b FROM p, f), n AS (SELECT sum(abs(re)) AS norm FROM p)"
+            " SELECT round(a / norm, 6) + 0.0 AS a_re, round(b / norm, 6) + 0.0 AS a_im, round(a / norm, 6) + 0.0 AS b_re, round(b / norm, 6) + 0.0 AS b_im FROM s, n"
+        ),
+        "sql_functions": (
+            "SELECT CAST(i AS BIGINT) AS id, round(CASE WHEN 1 - pow((i / 8.0::DOUBLE - 4) * 2 / 7, 2) > 0 THEN exp(16.1::DOUBLE * (sqrt(1 - pow((i / 8.0::DOUBLE - 4) * 2 / 7, 2)) - 1)) ELSE 0 END, 9) AS phi,"
+            " CAST(CASE WHEN i < 33 THEN i ELSE i - 65 END AS BIGINT) AS fft, CAST(i - 32 AS BIGINT) AS centered,"
+            " round((((i / 7.0::DOUBLE - 4) * 50 / (2 * pi()) + 25) - 50 * floor(((i / 7.0::DOUBLE - 4) * 50 / (2 * pi()) + 25) / 50)), 6) AS position, TRUE AS whole FROM generate_series(0, 64) g(i)"
+        ),
+        "sql_view": _sql_type1(SQL_EVENTS, (6,)),
+        "t1_by_window": (
+            f"WITH p AS (SELECT point_id, x0, re, CAST(e.ts AS DATE) AS day FROM {SQL_EVENTS} JOIN events e ON e.event_id = point_id)"
+            f" SELECT day, lin, count(*) AS n, round(sum(re * cos(x0 * k0)), 4) + 0.0 AS re, round(sum(re * sin(x0 * k0)), 4) + 0.0 AS im FROM p, {_sql_modes((4,))} GROUP BY day, lin"
+        ),
     }

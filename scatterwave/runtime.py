@@ -55,6 +55,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder, wherever Spark's file systems keep it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there: its lineage ends and a lost executor costs nothing.
 
@@ -67,6 +73,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """A small table over all cores, for work that is heavy in each row.
+
+    A file of one row group is one task, however many cores wait. Tables whose estimated size is beyond a usual split
+    for each core have tasks enough and stay where they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) <= cores * 2**26 else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 2_000_000) -> DataFrame:
     """Broadcast hint only where ``rows``, a count or a proven bound, is under ``limit``; beyond it Spark shuffles."""
     from pyspark.sql import functions as F
