@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,6 +20,9 @@ FIT_ROWS, FIT_LEAST = 4_000, 40
 #: A text farther from every centroid than this share of a centroid's own texts is rejected.
 REJECT_QUANTILE = 0.002
 UNDETERMINED = "und"
+#: Characters that are looked at together; arrays of a whole text would take many times its size.
+PIECE = 2**20
+_GAP = re.compile(r"\s")
 
 
 @lru_cache(maxsize=1)
@@ -27,10 +31,25 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+def _pieces(text: str):
+    """The text in pieces of about ``PIECE`` characters, cut at white space, across which no n-gram reaches."""
+    at = 0
+    while len(text) - at > PIECE and (gap := _GAP.search(text, at + PIECE)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
 def ngram_counts(text: str | None) -> np.ndarray | None:
     """Counts of hashed 1- to 3-grams of letters with word boundaries; None for a text that has no letter."""
-    if not text:
-        return None
+    total = None
+    for piece in _pieces(text or ""):
+        own = _piece_counts(piece)
+        total = own if total is None else total if own is None else total + own
+    return total
+
+
+def _piece_counts(text: str) -> np.ndarray | None:
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(_letters()[codes], codes, 0).astype(np.int64)
     if not codes.any():
@@ -114,20 +133,26 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     languages = sizes.count()
     each = max(FIT_LEAST, fit_rows // max(1, languages))
-    share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6
-    sample = rows.join(broadcast_if_small(sizes, languages, 10_000), "lang").filter(share < F.lit(1.2 * each) / F.col("n"))
+    # By id and text, and each pair once, so that no repeated id or row can fill the sample.
+    rows = rows.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    share = F.pmod(F.xxhash64("doc_id", "t", F.lit(11)), F.lit(1_000_000)) / 1e6
+    sample = rows.join(broadcast_if_small(sizes, languages, 10_000), "lang").filter(share < F.lit(1.2 * each) / F.col("n")).dropDuplicates(["doc_id", "lang", "t"])
 
     def vectors(batch):
-        rows = [(i, lang, c) for i, lang, c in zip(batch["doc_id"], batch["lang"], map(ngram_counts, batch["text"])) if c is not None]
-        at = [np.flatnonzero(c).astype(np.int16) for _, _, c in rows]
         import pyarrow as pa
 
-        return {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()), "at": [a.tobytes() for a in at], "n": [c[a].astype(np.int32).tobytes() for a, (_, _, c) in zip(at, rows)]}
+        rows = []
+        for i, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"]):
+            if (c := ngram_counts(text)) is not None:
+                at = np.flatnonzero(c)
+                rows.append((i, lang, at.astype(np.int16).tobytes(), c[at].astype(np.int32).tobytes()))
+        kinds = {"doc_id": pa.int64(), "lang": pa.string(), "at": pa.binary(), "n": pa.binary()}
+        return {c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())}
 
     got = arrow_map(sample.select("doc_id", "lang", "text"), vectors, "doc_id long, lang string, at binary, n binary").toPandas()
     names, centers, limits = [], [np.zeros((0, SLOTS), np.float32)], []
     for lang, part in got.groupby("lang", sort=True):
-        part = part.sort_values("doc_id")
+        part = part.sort_values(["doc_id", "at", "n"])
         m = np.zeros((len(part), SLOTS), np.float32)
         for i, (at, value) in enumerate(zip(part["at"], part["n"])):
             m[i, np.frombuffer(at, np.int16)] = np.frombuffer(value, np.int32)
@@ -157,6 +182,11 @@ def identify(docs: DataFrame, model: Model, reject: bool = True) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, held_out, lang_pred, score, rejected``; lang_pred names the nearest language even where rejected."""
+    """One row per row of ``docs``: ``doc_id, held_out, lang_pred, score, rejected``; lang_pred names the nearest language even where rejected.
+
+    Null and empty texts and those without a letter are undetermined with score 0, and so is every text where nothing
+    can be learnt. Ties go to the first language by name. Rows that repeat an id are judged by their own texts. An
+    empty table gives no rows. Only doc_id, lang and text are read, so other columns may have any names.
+    """
     out = identify(docs, learn(docs), reject=False)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
