@@ -8,11 +8,13 @@ of data that holds checksums stay sound. CRC-32 is zlib's.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,8 @@ END_ID = 1
 CACHE_PIECES = 300_000
 #: Characters that are encoded at a time, unless one text has more.
 CHUNK_CHARS = 8_000_000
+#: Bytes of input that a shard aims at, and records that are read back at a time.
+SHARD_BYTES, READ_ROWS = 2**27, 10_000
 #: New pieces that are encoded as one text, and the word that parts them.
 GROUP, MARK = 500, "~"
 
@@ -42,6 +46,25 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
+#: The text rules of tokenizers that may be fed piece by piece.
+PIECEWISE_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECEWISE_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def piecewise(tokenizer) -> bool:
+    """Whether a tokenizer's ids of a text are those of its pieces: its rules are the ones that ``Encoder`` is proven for."""
+    rules = json.loads(tokenizer.to_str())
+    normal, pre, model = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}, rules["model"]
+    steps = pre.get("pretokenizers") or [{}]
+    return (
+        normal.get("normalizers") == PIECEWISE_NORMALIZERS
+        and steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": PIECEWISE_PATTERN} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+        and [s["type"] for s in steps[1:]] == ["ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in rules["added_tokens"])
+        and model["type"] == "BPE" and not model.get("dropout") and rules["truncation"] is None and rules["padding"] is None
+    )
+
+
 _STOP = re.compile("(?<=[a-zß-öø-ÿ])([.,]) ")
 
 
@@ -52,13 +75,14 @@ class Encoder:
     neither its normaliser nor its special strings reach across a space; so a text's ids are those of its pieces, one
     after the other. Its normaliser lower-cases: in Latin-1 texts, where no composition takes place, that is done
     first, so that more pieces are alike. Each distinct piece is encoded by the library and remembered; the pieces
-    are held in two generations, of which the older is forgotten.
+    are held in two generations, of which the older is forgotten. A tokenizer with other rules gets whole texts.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.piecewise = piecewise(self.tokenizer)
         ids = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = ids[0] if len(ids) == 1 else -1
         self.young, self.old = {}, {}
@@ -103,6 +127,8 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Pieces are cut, told apart and replaced by their ids as whole arrays; Python sees distinct pieces only."""
+        if not self.piecewise:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lists = pc.split_pattern(pa.array([self.prepared(t) for t in texts], pa.large_string()), " ")
         coded = lists.values.dictionary_encode()
         at, ids = coded.indices.to_numpy(), self.known(coded.dictionary.to_pylist())
@@ -144,6 +170,14 @@ def vocabulary_dtype(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 2**16 else "<u4"
 
 
+def shard_count(docs: DataFrame) -> int:
+    """Shards of about ``SHARD_BYTES`` of text by the size that Spark knows of the input, and no fewer than its shuffle partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 2**60:  # not known: measured
+        size = docs.agg(F.sum(F.octet_length(whole_text()))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+
+
 def write_records(docs: DataFrame, tokenizer: str, out: str, partitions: int | None = None) -> pd.DataFrame:
     """Writes shards in ascending order of doc_id under ``out`` and gives their manifest.
 
@@ -154,7 +188,7 @@ def write_records(docs: DataFrame, tokenizer: str, out: str, partitions: int | N
     spark = docs.sparkSession
     ship(spark)
     dtype = vocabulary_dtype(tokenizer)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or shard_count(docs)
     filesystem, root = _filesystem(out)
     filesystem.create_dir(root, recursive=True)
 
@@ -162,13 +196,13 @@ def write_records(docs: DataFrame, tokenizer: str, out: str, partitions: int | N
         filesystem, root = _filesystem(out)
         encode, end = encoder(tokenizer, dtype), np.array([END_ID], dtype).tobytes()
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        name, index, at, tokens, first = f"{root}/shard-{part:06d}", [], 8, 0, None
+        name, count, at, tokens = f"{root}/shard-{part:06d}", 0, 8, 0
         width = np.dtype(dtype).itemsize
-        with filesystem.open_output_stream(f"{name}.{attempt}") as f:
+        with filesystem.open_output_stream(f"{name}.{attempt}") as f, filesystem.open_output_stream(f"{name}.idx.{attempt}") as offsets:
             f.write(MAGIC + struct.pack("<I", width))
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                frames = []
+                frames, index = [], []
                 for doc_id, body in zip(ids, encode(texts)):
                     body += end
                     head = struct.pack("<Q", len(body))
@@ -177,14 +211,15 @@ def write_records(docs: DataFrame, tokenizer: str, out: str, partitions: int | N
                     at += 16 + len(body)
                     tokens += len(body) // width
                 f.write(b"".join(frames))
-        if not index:
+                offsets.write(np.array(index, "<u8").tobytes())
+                count += len(index)
+        if not count:
             filesystem.delete_file(f"{name}.{attempt}")
+            filesystem.delete_file(f"{name}.idx.{attempt}")
             return
-        with filesystem.open_output_stream(f"{name}.idx.{attempt}") as f:
-            f.write(np.array(index, "<u8").tobytes())
         filesystem.move(f"{name}.idx.{attempt}", f"{name}.idx")
         filesystem.move(f"{name}.{attempt}", f"{name}.bin")
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "docs": [len(index)], "tokens": [tokens]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "docs": [count], "tokens": [tokens]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     hashed = rows.withColumn("h", F.xxhash64("text"))  # parts rows that share an id
@@ -237,17 +272,23 @@ def digest_records(spark: SparkSession, manifest: pd.DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows, at = [], start
-                for doc_id, ids in read_records(path):
-                    rows.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                records, at = read_records(path), start
+                while own := list(islice(records, READ_ROWS)):
+                    rows = []
+                    for doc_id, ids in own:
+                        rows.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        at += len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.createDataFrame(manifest[["path", "start"]], "path string, start long")
     return shards.repartition(len(manifest)).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write every document and describe what the files hold, one row per document."""
+    """Write every document and describe what the files hold, one row per row of ``docs``.
+
+    Null texts are empty: their record holds the end id alone. Ids that are null come first; rows that repeat an id
+    follow each other. An empty table gives no rows. Only doc_id and text are read, so other columns may have any names.
+    """
     spark = docs.sparkSession
     return digest_records(spark, write_records(docs, tokenizer, scratch_path(spark, "records")))
