@@ -144,7 +144,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     ship(spark)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_labelled rows at most
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # max_labelled rows at most
+    joined = joined.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))  # one row an id, however often it stands there
 
     def run(batch):
         slots = WordHash()
