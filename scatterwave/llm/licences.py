@@ -88,8 +88,6 @@ def normalise(text: str) -> list[str]:
 class Template:
     licence: str
     size: int  # words
-    first: tuple
-    last: tuple
     bigrams: Counter
     anchors: frozenset  # a passage that is similar enough has one of these
 
@@ -123,7 +121,7 @@ class Matcher:
                     break
                 anchors.append(g)
                 free -= grams[g]
-            self.templates.append(Template(name, len(w), tuple(w[:2]), tuple(w[-2:]), grams, frozenset(anchors)))
+            self.templates.append(Template(name, len(w), grams, frozenset(anchors)))
         self.anchors = frozenset().union(*[t.anchors for t in self.templates])
         self.bigrams = frozenset().union(*[t.bigrams for t in self.templates])
 
@@ -131,10 +129,9 @@ class Matcher:
         """``licence, first word, end word, dice``: passages of every size that reach the similarity, not overlapping.
 
         Of each template, the best by Dice are taken first, and of those of all templates the ones that share the most
-        bigrams. A passage of size bigrams can reach s only if s / (2 - s) n <= size <= (2 - s) / s n, and one whose
-        first or last bigram is none of the template's is less similar than without it. One of fewer words than the
-        template must begin and end as the template does (words left out inside); a statement cut off at an end is
-        looked at in a passage of the template's size.
+        bigrams; ties go to the earlier passage. A passage of size bigrams can reach s only if s / (2 - s) n <= size <=
+        (2 - s) / s n, and one whose first or last bigram is none of the template's is less similar than without it, so
+        passages begin and end with a template's bigram.
         """
         words = normalise(text or "")
         pairs = list(zip(words, words[1:]))
@@ -144,7 +141,7 @@ class Matcher:
         for i, p in enumerate(pairs):
             if p in self.bigrams:
                 where.setdefault(p, []).append(i)
-        same, found = self._same_size(text), []
+        found = []
         for t in self.templates:
             if t.anchors.isdisjoint(where):
                 continue
@@ -152,7 +149,7 @@ class Matcher:
             at = sorted(i for g in t.bigrams for i in where.get(g, ()))
             longest = int((2 - s) / s * n + 1e-9)
             least = -(-int(s * 1000) * n // int((2 - s) * 1000))  # bigrams that any match shares
-            own = same.get(id(t), [])
+            own = []
             for a in range(len(at) - least + 1):
                 if at[a + least - 1] - at[a] >= longest:
                     continue
@@ -165,58 +162,12 @@ class Matcher:
                         left[pairs[i]] -= 1
                         shared += 1
                         dice = 2 * shared / (n + size)
-                        if dice >= s and (size > n or (pairs[first] == t.first and pairs[i] == t.last)):
+                        if dice >= s:
                             own.append((-dice, first, first + size + 1, t.licence, shared))
             found += _apart(sorted(own))
         best = _apart(sorted(found, key=lambda m: (-m[4], *m)))
         return sorted(((name, a, b, -dice) for dice, a, b, name, _ in best), key=lambda m: m[1])
 
-    def matches(self, text: str | None) -> list[tuple[str, int, int, float]]:
-        """``licence, first word, end word, dice``: the best passages of their template's own size, which do not overlap."""
-        best = _apart(sorted(m for own in self._same_size(text).values() for m in own))
-        return sorted(((name, a, b, -dice) for dice, a, b, name, _ in best), key=lambda m: m[1])
-
-    def _same_size(self, text: str | None) -> dict[int, list[tuple[float, int, int, str, int]]]:
-        """By template, passages ``-dice, first, end, licence, shared bigrams`` that reach the similarity, overlaps included.
-
-        A passage is as long as its template, or the whole text where that is shorter; texts under the template's
-        lower size bound are passed over. Each start within reach of an anchor is scored while the window slides.
-        """
-        words = normalise(text or "")
-        pairs = list(zip(words, words[1:]))
-        if self.anchors.isdisjoint(pairs):
-            return {}
-        where: dict = {}
-        for i, p in enumerate(pairs):
-            if p in self.anchors:
-                where.setdefault(p, []).append(i)
-        found: dict = {}
-        for t in self.templates:
-            n = t.size - 1
-            if len(pairs) < self.similarity / (2 - self.similarity) * n:
-                continue
-            size = min(n, len(pairs))
-            starts = sorted({s for a in t.anchors for i in where.get(a, ()) for s in range(max(0, i - size + 1), min(i, len(pairs) - size) + 1)})
-            window, last, shared = Counter(), None, 0
-            for s in starts:
-                if last is None or s > last + size // 2 + 1:
-                    window = Counter(pairs[s : s + size])
-                    shared = sum(min(c, t.bigrams[g]) for g, c in window.items() if g in t.bigrams)
-                else:
-                    for k in range(last, s):
-                        out, into = pairs[k], pairs[k + size]
-                        if out in t.bigrams and window[out] <= t.bigrams[out]:
-                            shared -= 1
-                        window[out] -= 1
-                        if into in t.bigrams and window[into] < t.bigrams[into]:
-                            shared += 1
-                        window[into] += 1
-                last = s
-                dice = 2 * shared / (n + size)
-                if dice >= self.similarity:
-                    found.setdefault(id(t), []).append((-dice, s, s + size + 1, t.licence, shared))
-        return found
-
 
 @lru_cache(maxsize=1)
 def default_matcher() -> Matcher:
@@ -226,7 +177,8 @@ def default_matcher() -> Matcher:
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, licence, first_word, end_word, dice``: one row per passage found in a whole text.
 
-    Null, empty and unlicensed texts give no rows; repeated rows give theirs each.
+    Null, empty and unlicensed texts give no rows, nor does an empty table; repeated rows give theirs each. Whole texts
+    of any length are looked at. Only doc_id and text are read, so other columns may have any names.
     """
     ship(docs.sparkSession)
 
