@@ -409,7 +409,7 @@ def t1_by_window(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
     x = event_points(spark, sf_dir).select(F.col("point_id").alias("event_id"), "x0")
     out = type1_stream(events.join(x, "event_id"), TransformConfig((4,)), ts="at", window="1 day")
-    return out.select(F.to_date("window.start").alias("day"), "lin", "n", _round(F.col("re"), "re", 4), _round(F.col("im"), "im", 4))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "lin", "n", _round(F.col("re"), "re", 4), _round(F.col("im"), "im", 4))
 
 
 def queries() -> dict:
@@ -553,7 +553,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "sql_view": _sql_type1(SQL_EVENTS, (6,)),
         "t1_by_window": (
-            f"WITH p AS (SELECT point_id, x0, re, CAST(e.ts AS DATE) AS day FROM {SQL_EVENTS} JOIN events e ON e.event_id = point_id)"
+            f"WITH p AS (SELECT point_id, x0, re, strftime(e.ts, '%Y-%m-%d') AS day FROM {SQL_EVENTS} JOIN events e ON e.event_id = point_id)"
             f" SELECT day, lin, count(*) AS n, round(sum(re * cos(x0 * k0)), 4) + 0.0 AS re, round(sum(re * sin(x0 * k0)), 4) + 0.0 AS im FROM p, {_sql_modes((4,))} GROUP BY day, lin"
         ),
     }
