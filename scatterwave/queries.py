@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scatterwave.config import TransformConfig, Type3Config
+from scatterwave.errors import TransformError
 from scatterwave.functions import kernel as kern
 from scatterwave.functions.columns import es_kernel, join_df64, split_df64
 from scatterwave.operators import direct, fft, gridded, type3
 from scatterwave.operators.modes import axis_names, mode_table
-from scatterwave.operators.spread import bin_histogram, bin_offsets, spread_relational
+from scatterwave.operators.spread import bin_histogram, bin_offsets, bin_sorted, spread_dense, spread_relational
 from scatterwave.operators.validate import violations
 from scatterwave.plans import arrays, sql
 from scatterwave.plans.plan import AutoBoundsType3, Plan
@@ -412,6 +413,105 @@ def t1_by_window(spark, sf_dir):
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "lin", "n", _round(F.col("re"), "re", 4), _round(F.col("im"), "im", 4))
 
 
+def kernel_spectrum(spark, sf_dir):
+    """Transform of the kernel at the modes of a fine grid, from which deconvolution factors are made."""
+    layout = kern.layout_for(_grid_config())
+    values = kern.centered_kernel_fourier(layout.shape[0], layout.kernel)
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k long, v double").select("k", _round(F.col("v"), "phi"))
+
+
+def kernel_integral(spark, sf_dir):
+    """Continuous transform of the kernel, for type 3."""
+    k = kern.kernel_for(1e-6, 2.0)
+    at = [i / 16.0 for i in range(26)]
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(kern.continuous_kernel_fourier(at, k))], "i long, v double").select("i", _round(F.col("v"), "phi"))
+
+
+def _sql_integral(k, arguments: str, key: str, sign: str = "1", angle: str = "s") -> str:
+    """Midpoint sums of kernel times cosine; the kernel is below 1e-7 at its ends, so 40,000 steps are plenty."""
+    h = k.width / 40_000
+    return (
+        f"(SELECT {key}, {sign} * sum(exp({k.beta!r}::DOUBLE * (sqrt(1 - pow(2 * d / {k.width}.0::DOUBLE, 2)) - 1)) * cos({angle} * d)) * {h!r}::DOUBLE AS phi"
+        f" FROM {arguments}, (SELECT (j + 0.5::DOUBLE) * {h!r}::DOUBLE - {k.width / 2!r}::DOUBLE AS d FROM generate_series(0, 39999) q(j)) GROUP BY {key})"
+    )
+
+
+def fine_lengths(spark, sf_dir):
+    rows = [(n, kern.fine_length(n, 2.0, 7), kern.next_even_235(n)) for n in range(1, 301)]
+    return spark.createDataFrame(rows, "n long, fine long, next_even long")
+
+
+def kernel_parameters(spark, sf_dir):
+    rows = [(e, k.width, k.beta) for e in range(1, 15) for k in [kern.kernel_for(10.0**-e, 2.0)]]
+    return spark.createDataFrame(rows, "e int, width int, beta double").select("e", "width", _round(F.col("beta"), "beta"))
+
+
+def deconvolved_modes(spark, sf_dir):
+    """Coefficients at their cells of the fine grid, before the uniform transform of type 2."""
+    return gridded.coefficient_grid(_coefficients(spark, (32,)), _grid_config(), 1).select("transform_id", "cell", _round(F.col("re"), "re"), _round(F.col("im"), "im"))
+
+
+#: Bounds that hold suppliers' and customers' balances as they are scaled here.
+TYPE3_BOUNDS = Type3Config([(-1.5, 10.5)], [(-2.5, 20.5)])
+
+
+def t3_scaled_sources(spark, sf_dir):
+    out = type3.prepare_sources(_supplier_sources(spark, sf_dir), TYPE3_BOUNDS)
+    return out.select("point_id", _round(F.col("x0"), "x0"), _round(F.col("re"), "re"), _round(F.col("im"), "im"))
+
+
+def t3_target_factors(spark, sf_dir):
+    out = type3.prepare_targets(_customer_targets(spark, sf_dir), TYPE3_BOUNDS)
+    return out.select("target_id", _round(F.col("x0"), "x0"), _round(F.col("fre"), "fre"), _round(F.col("fim"), "fim"))
+
+
+def spread_grid_dense(spark, sf_dir):
+    """Private grids of tasks, added up."""
+    points = event_points(spark, sf_dir)
+    return _normal(spread_dense(points, kern.layout_for(_grid_config())), points, ["cell"])
+
+
+def bin_sorted_points(spark, sf_dir):
+    """Prepared points beside their bins; the order inside a bin shows as a rank."""
+    from pyspark.sql import Window
+
+    points = _order_points(spark, sf_dir).select("point_id", "x0", "x1")
+    out = bin_sorted(points, kern.layout_for(TransformConfig((32, 32))), side=16)
+    rank = F.row_number().over(Window.partitionBy("bin").orderBy("point_id"))  # a bin of this small grid
+    return out.select("bin", "point_id", rank.cast("long").alias("rank"))
+
+
+def t1_active_batch(spark, sf_dir):
+    """Two of five planned transforms are active; strengths of the others are passed over."""
+    points, kinds = _typed_events(spark, sf_dir)
+    return _normal(direct.type1(points, points, TransformConfig((8,), batch=5), active=2), points, ["transform_id", "lin", "k0"])
+
+
+def plan_sizes(spark, sf_dir):
+    """Rows in and out that a plan foresees, for each kind."""
+    one, three = TransformConfig((6, 5), batch=3), Type3Config([(-1, 1)], [(-5, 5)], batch=2)
+    rows = [(k, active, *[plan.expected_rows(100, active, targets=40)[c] for c in ("points", "input", "output")]) for k, plan in ((1, Plan(1, one)), (2, Plan(2, one)), (3, Plan(3, three))) for active in (1, 2)]
+    return spark.createDataFrame(rows, "kind int, active int, points long, input long, output long")
+
+
+def error_codes(spark, sf_dir):
+    """Codes of configurations and rows that break the contract."""
+    bad = [
+        ("no axes", lambda: TransformConfig(())), ("nine axes", lambda: TransformConfig((2,) * 9)), ("zero modes", lambda: TransformConfig((4, 0))),
+        ("no batch", lambda: TransformConfig((4,), batch=0)), ("eps zero", lambda: TransformConfig((4,), eps=0.0)), ("sigma one", lambda: TransformConfig((4,), sigma=1.0)),
+        ("eps too small", lambda: kern.kernel_for(1e-16, 2.0)), ("odd grid", lambda: kern.centered_kernel_fourier(7, kern.kernel_for(1e-3, 2.0))),
+        ("float tolerance", lambda: Plan(1, TransformConfig((256, 256), sigma=1.25, precision="f32"))), ("interval", lambda: Type3Config([(1, -1)], [(0, 1)])),
+        ("active batch", lambda: TransformConfig((4,), batch=2).check_active_batch(3)), ("far point", lambda: Plan(1, TransformConfig((4,))).transform(*[spark.createDataFrame([(0, 12.6, 1.0, 0.0)], "point_id long, x0 double, re double, im double")] * 2)),
+    ]
+    rows = []
+    for case, make in bad:
+        try:
+            make()
+        except TransformError as e:
+            rows.append((case, e.code))
+    return spark.createDataFrame(rows, "case string, code string")
+
+
 def queries() -> dict:
     return {
         "t1_1d_events_daily": _events(64),
@@ -465,11 +565,25 @@ def queries() -> dict:
         "sql_functions": sql_functions,
         "sql_view": sql_view,
         "t1_by_window": t1_by_window,
+        "t1_f32": _events(24, precision="f32"),
+        "t1_df64": _events(24, precision="df64"),
+        "t1_active_batch": t1_active_batch,
+        "kernel_spectrum": kernel_spectrum,
+        "kernel_integral": kernel_integral,
+        "kernel_parameters": kernel_parameters,
+        "fine_lengths": fine_lengths,
+        "deconvolved_modes": deconvolved_modes,
+        "t3_scaled_sources": t3_scaled_sources,
+        "t3_target_factors": t3_target_factors,
+        "spread_grid_dense": spread_grid_dense,
+        "bin_sorted_points": bin_sorted_points,
+        "plan_sizes": plan_sizes,
+        "error_codes": error_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    k = kern.kernel_for(1e-6, 2.0)
+    k, grid, (wide, (axis,)) = kern.kernel_for(1e-6, 2.0), kern.layout_for(_grid_config()), type3.plan_axes(TYPE3_BOUNDS)
     n2 = kern.layout_for(TransformConfig((32, 32))).shape
     sup = "(SELECT s_suppkey AS point_id, s_acctbal / 1000.0::DOUBLE AS x0 FROM supplier)"
     cust = "(SELECT c_custkey AS target_id, c_acctbal / 500.0::DOUBLE AS s0 FROM customer)"
@@ -552,6 +666,39 @@ def oracle_sql() -> dict[str, str]:
             " round((((i / 7.0::DOUBLE - 4) * 50 / (2 * pi()) + 25) - 50 * floor(((i / 7.0::DOUBLE - 4) * 50 / (2 * pi()) + 25) / 50)), 6) AS position, TRUE AS whole FROM generate_series(0, 64) g(i)"
         ),
         "sql_view": _sql_type1(SQL_EVENTS, (6,)),
+        "t1_f32": _sql_type1(f"(SELECT point_id, CAST(CAST(re AS FLOAT) AS DOUBLE) AS re, CAST(CAST(x0 AS FLOAT) AS DOUBLE) AS x0 FROM {SQL_EVENTS})", (24,)),
+        "t1_df64": _sql_type1(SQL_EVENTS, (24,)),
+        "t1_active_batch": (
+            f"WITH p AS (SELECT *, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS transform_id FROM {SQL_EVENTS}), n AS (SELECT sum(abs(re)) AS norm FROM p)"
+            f" SELECT transform_id, lin, k0, round(sum(re * cos(x0 * k0)) / any_value(norm), 6) + 0.0 AS re, round(sum(re * sin(x0 * k0)) / any_value(norm), 6) + 0.0 AS im FROM p, n, {_sql_modes((8,))} WHERE transform_id < 2 GROUP BY transform_id, lin, k0"
+        ),
+        "kernel_spectrum": f"SELECT CAST(k AS BIGINT) AS k, round(phi, 6) + 0.0 AS phi FROM {_sql_integral(grid.kernel, f'generate_series(0, {grid.shape[0] // 2}) g(k)', 'k', '(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END)', f'(k * {2 * math.pi / grid.shape[0]!r}::DOUBLE)')}",
+        "kernel_integral": f"SELECT CAST(i AS BIGINT) AS i, round(phi, 6) + 0.0 AS phi FROM {_sql_integral(k, 'generate_series(0, 25) g(i)', 'i', angle='(i / 16.0::DOUBLE)')}",
+        "kernel_parameters": "SELECT CAST(e AS INTEGER) AS e, CAST(greatest(2, e + 1) AS INTEGER) AS width, round(greatest(2, e + 1) * CASE e WHEN 1 THEN 2.20 WHEN 2 THEN 2.26 WHEN 3 THEN 2.38 ELSE 2.30 END, 6) + 0.0::DOUBLE AS beta FROM generate_series(1, 14) g(e)",
+        "fine_lengths": (
+            "WITH c AS (SELECT 2 * CAST(i AS BIGINT) AS m FROM generate_series(1, 400) g(i)), t AS (SELECT m, (CAST(1073741824 AS HUGEINT) * 94143178827 * 30517578125) % m = 0 AS smooth5,"
+            " (CAST(1024 AS HUGEINT) * 729 * 625 * 343 * 121) AS x, (CAST(1024 AS HUGEINT) * 729 * 625 * 343 * 121) % m = 0 AS smooth11 FROM c)"
+            " SELECT CAST(n AS BIGINT) AS n, (SELECT min(m) FROM t WHERE smooth11 AND m >= greatest(2 * n, 14)) AS fine, (SELECT min(m) FROM t WHERE smooth5 AND m >= n) AS next_even FROM generate_series(1, 300) h(n)"
+        ),
+        "deconvolved_modes": (
+            f"WITH a AS {_sql_integral(grid.kernel, 'generate_series(0, 16) g(k)', 'k', '(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END)', f'(k * {2 * math.pi / grid.shape[0]!r}::DOUBLE)')}"
+            f" SELECT CAST(0 AS INTEGER) AS transform_id, CAST(((k0 % {grid.shape[0]}) + {grid.shape[0]}) % {grid.shape[0]} AS BIGINT) AS cell, round(1.0::DOUBLE / (1.0::DOUBLE + lin) / phi, 6) + 0.0 AS re, round(0.5::DOUBLE / (2.0::DOUBLE + lin) / phi, 6) + 0.0 AS im FROM {_sql_modes((32,))} JOIN a ON a.k = abs(k0)"
+        ),
+        "t3_scaled_sources": f"SELECT point_id, round((x0 - {axis.source_center!r}::DOUBLE) / {axis.scale!r}::DOUBLE, 6) + 0.0 AS x0, round(cos(x0 * {axis.target_center!r}::DOUBLE), 6) + 0.0 AS re, round(sin(x0 * {axis.target_center!r}::DOUBLE), 6) + 0.0 AS im FROM {sup}",
+        "t3_target_factors": (
+            f"WITH t AS (SELECT target_id, s0 - {axis.target_center!r}::DOUBLE AS s FROM {cust}), u AS (SELECT DISTINCT s FROM t), a AS {_sql_integral(wide, 'u', 's', angle=f'(s * {axis.spacing * axis.scale!r}::DOUBLE)').replace('39999', '3999').replace(repr(wide.width / 40_000), repr(wide.width / 4_000))}"
+            f" SELECT target_id, round(t.s * {axis.spacing * axis.scale!r}::DOUBLE, 6) + 0.0 AS x0, round(cos(t.s * {axis.source_center!r}::DOUBLE) / phi, 6) + 0.0 AS fre, round(sin(t.s * {axis.source_center!r}::DOUBLE) / phi, 6) + 0.0 AS fim FROM t JOIN a USING (s)"
+        ),
+        "spread_grid_dense": f"WITH {_sql_support()}, n AS (SELECT sum(abs(re)) AS norm FROM {SQL_EVENTS}) SELECT cell, round(sum(re * phi) / any_value(norm), 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM w, n GROUP BY cell",
+        "bin_sorted_points": f"SELECT bin, point_id, row_number() OVER (PARTITION BY bin ORDER BY point_id) AS rank FROM (SELECT point_id, CAST(floor({position('x0', n2[0])} / 16) AS BIGINT) + CAST(floor({position('x1', n2[1])} / 16) AS BIGINT) * {-(-n2[0] // 16)} AS bin FROM {SQL_ORDERS})",
+        "plan_sizes": (
+            "SELECT CAST(kind AS INTEGER) AS kind, CAST(active AS INTEGER) AS active, CAST(100 AS BIGINT) AS points, CAST(active * CASE kind WHEN 2 THEN 6 * 5 ELSE 100 END AS BIGINT) AS input,"
+            " CAST(active * CASE kind WHEN 1 THEN 6 * 5 WHEN 2 THEN 100 ELSE 40 END AS BIGINT) AS output FROM generate_series(1, 3) g(kind), generate_series(1, 2) h(active)"
+        ),
+        "error_codes": (
+            'SELECT * FROM (VALUES (\'no axes\', \'InvalidDimensions\'), (\'nine axes\', \'InvalidDimensions\'), (\'zero modes\', \'ZeroMode\'), (\'no batch\', \'InvalidBatch\'), (\'eps zero\', \'InvalidTolerance\'), (\'sigma one\', \'InvalidSigma\'),'
+            ' (\'eps too small\', \'KernelWidthUnsupported\'), (\'odd grid\', \'FineGridMustBeEven\'), (\'float tolerance\', \'F32ToleranceUnreachable\'), (\'interval\', \'InvalidType3Interval\'), (\'active batch\', \'InvalidBatch\'), (\'far point\', \'PointOutOfRange\')) v("case", code)'
+        ),
         "t1_by_window": (
             f"WITH p AS (SELECT point_id, x0, re, strftime(e.ts, '%Y-%m-%d') AS day FROM {SQL_EVENTS} JOIN events e ON e.event_id = point_id)"
             f" SELECT day, lin, count(*) AS n, round(sum(re * cos(x0 * k0)), 4) + 0.0 AS re, round(sum(re * sin(x0 * k0)), 4) + 0.0 AS im FROM p, {_sql_modes((4,))} GROUP BY day, lin"
