@@ -40,10 +40,14 @@ def shingle_at(w: Column, i: Column, size: int = SHINGLE) -> Column:
     return F.xxhash64(*[F.get(w, i + k) for k in range(size)])
 
 
-def _positions(rows: DataFrame, keep: list[str], size: int = SHINGLE) -> DataFrame:
-    """One row per shingle: ``keep, pos, h``. Built of codegen operators: the words are exploded, never copied."""
-    exploded = rows.select(*dict.fromkeys([*keep, "w"]), F.posexplode("w").alias("pos", "_")).filter((F.col("pos") <= F.size("w") - size) | (F.col("pos") == 0))
-    return exploded.select(*keep, F.col("pos"), shingle_at(F.col("w"), F.col("pos"), size).alias("h"))
+def _positions(rows: DataFrame, keep: list[str], sizes: list[int] = [SHINGLE]) -> DataFrame:  # noqa: B006
+    """One row per shingle of each size: ``keep, pos, h``. Built of codegen operators: the words are exploded, never copied."""
+    exploded = rows.select(*dict.fromkeys([*keep, "w"]), F.posexplode("w").alias("pos", "_"))
+    whole = lambda size: (F.col("pos") <= F.size("w") - size) | (F.col("pos") == 0)
+    if len(sizes) == 1:
+        return exploded.filter(whole(sizes[0])).select(*keep, F.col("pos"), shingle_at(F.col("w"), F.col("pos"), sizes[0]).alias("h"))
+    every = F.array(*[F.when(whole(size), shingle_at(F.col("w"), F.col("pos"), size)) for size in sizes])
+    return exploded.select(*keep, F.col("pos"), F.explode(every).alias("h")).filter("h IS NOT NULL")
 
 
 def _simhash(rows: DataFrame, keys: list[str], lanes: int = _LANES) -> DataFrame:
@@ -116,10 +120,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = [r["len"] for r in items.filter(F.col("len") < SHINGLE).select("len").distinct().collect()]
 
     def shown(keep: list[str]) -> DataFrame:
-        out = _positions(rows, keep)
-        for size in sorted(short):
-            out = out.unionByName(_positions(rows, keep, size))
-        return out
+        return _positions(rows, keep, [SHINGLE, *sorted(short)])
 
     rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("t"), words(whole_text()).alias("w")).withColumn("n", F.size("w"))
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len"))).alias("start")
