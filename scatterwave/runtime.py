@@ -61,15 +61,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, per: int = 50_000) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there: its lineage ends and a lost executor costs nothing.
 
+    ``rows``, a known bound of its rows, keeps the number of files to one for every ``per`` of them, as a table that is
+    small beside the shuffle's partitions would be written in as many tiny files.
+
     The frame that comes back has no size estimate: a checkpoint keeps the one of its plan, and over many joins and
     rounds the products of estimates grow to numbers so long that planning takes minutes.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    held = df.checkpoint(eager)._jdf
+    held = (df if rows is None else df.coalesce(max(1, -(-rows // per)))).checkpoint()._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
