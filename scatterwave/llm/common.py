@@ -54,12 +54,13 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def drop_rows(docs: DataFrame, gone: DataFrame, key: Column | None = None, name: str = "t") -> DataFrame:
+def drop_rows(docs: DataFrame, gone: DataFrame, key: Column | None = None, name: str = "t", bound: int | None = None) -> DataFrame:
     """``docs`` without the rows whose doc_id and text (by a hash of it, XXH64 unless given) stand in ``gone``; null ids equal null ids.
 
     Up to two million rows of ``gone`` are sent to every worker, so texts stay where they are; more are joined by a shuffle.
+    ``bound``: a known bound of the rows of ``gone``.
     """
-    gone = cut(gone.distinct())
+    gone = cut(gone.distinct(), bound)
     d, t = fresh(docs.columns, "gone_id", "gone_text")
     named = broadcast_if_small(gone.select(F.col("doc_id").alias(d), F.col(name).alias(t)), gone.count())
     return docs.join(named, F.col("doc_id").eqNullSafe(F.col(d)) & ((F.xxhash64(whole_text()) if key is None else key) == F.col(t)), "left_anti")

@@ -27,20 +27,21 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, bound: int | None = None, max_rounds: int = 60) -> DataFrame:
     """``edges``: ``u, v`` long, in any order, repeats and loops allowed. Returns ``node, component`` for every node of a link.
 
     ``component`` is the smallest node reachable. Each round is written to the shared folder, so its lineage stays
     short; only two numbers reach the driver. Rounds grow with the logarithm of the longest chain. A star's centre
-    is a frequent key of the joins, which are equi-joins that Spark splits where they are skewed.
+    is a frequent key of the joins, which are equi-joins that Spark splits where they are skewed. ``bound``: a known
+    bound of the edges.
     """
-    now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), bound)
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = sign(now)
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = cut(_small(_large(now)))
+        now = cut(_small(_large(now)), 2 * seen[0])
         then, seen = seen, sign(now)
         if then == seen:
             break

@@ -86,7 +86,8 @@ def decide(docs: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     sha = F.sha2(whole_text(), 256)
     rows = docs.select("doc_id", sha.alias("sha"), F.monotonically_increasing_id().alias("row"))
     rows = cut(rows.withColumn("h1", F.xxhash64("sha")).withColumn("h2", F.xxhash64("sha", F.lit(1))))
-    shards, slots = filter_size(rows.count(), shard_slots)
+    n = rows.count()
+    shards, slots = filter_size(n, shard_slots)
     if shards == 1:
         parts = [rows]
     else:  # files of their own for each shard of the filter, so that each is read once
@@ -103,7 +104,7 @@ def decide(docs: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     rest = marked.filter("maybe").select("doc_id", "sha", "row")
 
     # Counted map-side, so a group of any size is one row for each task. Verdicts go back to large groups by a broadcast.
-    groups = cut(rest.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count("*").alias("group_size")))
+    groups = cut(rest.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count("*").alias("group_size")), n)
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     judged = join_back(rest, groups.withColumn("n", F.col("group_size")), "sha", total)
     judged = judged.select("doc_id", "sha", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"))
@@ -114,7 +115,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of ``docs``, which may have any names. See ``decide`` for which."""
     d, t = fresh(docs.columns, "d", "t")
     verdicts = decide(docs.select("doc_id", "text"))
-    groups = cut(verdicts.filter("group_size > 1"))
+    groups = cut(verdicts.filter("group_size > 1"), docs.count())
     lost = groups.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "sha").distinct()
     left = drop_rows(docs, lost, key=F.sha2(whole_text(), 256), name="sha")
     # Rows that repeat both id and text: one of them stays, whichever is met first; counted map-side like the groups.

@@ -80,17 +80,18 @@ def _sets(docs: DataFrame, share: Fraction, size: int, slots: int) -> DataFrame:
     return cut(arrow_map(rows, run, "doc_id long, t long, sig long, k long, fp long, first array<long>"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, homes: DataFrame, share: Fraction, size: int) -> DataFrame:
-    """The pairs ``a, b`` of classes whose whole shingle sets are similar enough; only texts of classes in pairs are read again."""
+def _verified(pairs: DataFrame, count: int, rows: DataFrame, homes: DataFrame, share: Fraction, size: int) -> DataFrame:
+    """Of ``count`` pairs ``a, b`` of classes, those whose whole shingle sets are similar enough; only texts of classes in pairs are read again."""
     p, q = share.numerator, share.denominator
-    nodes = cut(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct().join(homes.select("sig", "doc_id", "t"), "sig"))
-    asked = broadcast_if_small(nodes.select("doc_id", "t", "sig"), nodes.count())
+    nodes = cut(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct().join(homes.select("sig", "doc_id", "t"), "sig"), 2 * count)
+    n = nodes.count()
+    asked = broadcast_if_small(nodes.select("doc_id", "t", "sig"), n)
 
     def whole(batch):
         return {"sig": batch["sig"], "found": [shingle_set(t, size) for t in batch["text"]]}
 
     texts = rows.join(asked, ["doc_id", "t"]).dropDuplicates(["sig"]).select("sig", "text")
-    full = cut(arrow_map(texts, whole, "sig long, found array<long>"))
+    full = cut(arrow_map(texts, whole, "sig long, found array<long>"), n, 2_000)
     left, right = full.select(F.col("sig").alias("a"), F.col("found").alias("x")), full.select(F.col("sig").alias("b"), F.col("found").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -157,17 +158,17 @@ def _first_met(members: DataFrame, share: Fraction, radius: int) -> DataFrame:
     return best.select(F.least("sig", "best.to").alias("a"), F.greatest("sig", "best.to").alias("b")).distinct()
 
 
-def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``sig, comp`` of every class that has links, after more of them: components of components."""
+def _merged(comps: DataFrame | None, links: DataFrame, n: int) -> DataFrame:
+    """``sig, comp`` of every class that has links, of at most ``n``, after more of them: components of components."""
     if comps is None:
         ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        return cut(connected_components(ends).select(F.col("node").alias("sig"), F.col("component").alias("comp")))
+        return cut(connected_components(ends, n).select(F.col("node").alias("sig"), F.col("component").alias("comp")), n)
     name = lambda side: comps.select(F.col("sig").alias(side), F.col("comp").alias(f"c{side}"))
     known = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
-    more = cut(connected_components(known).select(F.col("node").alias("comp"), F.col("component").alias("to")))
+    more = cut(connected_components(known, n).select(F.col("node").alias("comp"), F.col("component").alias("to")), n)
     old = comps.join(dealt_anew(more, "comp"), "comp", "left").select("sig", F.coalesce("to", "comp").alias("comp"))
     new = more.select(F.col("comp").alias("sig"), F.col("to").alias("comp")).join(comps, "sig", "left_anti")
-    return cut(old.unionByName(new))
+    return cut(old.unionByName(new), n)
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, radius: int = RADIUS, chunk: int = CHUNK, slots: int = SLOTS) -> DataFrame:
@@ -189,23 +190,26 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     sets = _sets(docs, share, size, slots)
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("t"), "text")
     counted = sets.groupBy("sig").agg(F.min(F.struct("doc_id", "t")).alias("home"), F.count("*").alias("n"))
-    homes = cut(counted).select("sig", "home.doc_id", "home.t", "n")
-    copied = cut(homes.filter("n > 1").select("sig", F.col("doc_id").alias("d"), F.col("t").alias("tt")))
+    n = sets.count()
+    homes = cut(counted, n).select("sig", "home.doc_id", "home.t", "n")
+    copied = cut(homes.filter("n > 1").select("sig", F.col("doc_id").alias("d"), F.col("t").alias("tt")), n)
     copied = broadcast_if_small(copied, copied.count())
     one = sets.join(copied, "sig", "left").filter("d IS NULL OR (doc_id = d AND t = tt)")  # each class by its home
 
     index = one.select("sig", "k", "fp", F.posexplode("first").alias("at", "h"))
-    often = cut(index.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    often = cut(index.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), 20 * n)
     members = cut(index.join(broadcast_if_small(often, often.count()), "h", "left_semi"))
     comps = None
     for _ in range(LINEAR_ROUNDS):
         marked = _marked(members, comps)
-        comps = _merged(comps, _verified(cut(_first_met(marked, share, radius)), rows, homes, share, size))
+        pairs = cut(_first_met(marked, share, radius), n)
+        comps = _merged(comps, _verified(pairs, pairs.count(), rows, homes, share, size), n)
     marked = cut(_marked(members, comps))
     mixed = marked.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    left = cut(marked.join(dealt_anew(mixed, "h"), "h", "left_semi"))
+    left = cut(marked.join(dealt_anew(mixed, "h"), "h", "left_semi"), marked.count(), 200_000)
     found = _blocked(left, chunk).groupBy("task").applyInPandas(_search(share, radius), "a long, b long")
-    comps = _merged(comps, _verified(cut(found.distinct()), rows, homes, share, size))
+    pairs = cut(found.distinct(), 20 * n)
+    comps = _merged(comps, _verified(pairs, pairs.count(), rows, homes, share, size), n)
     return _marked(sets.select("doc_id", "t", "sig"), comps).select("doc_id", "t", F.col("comp").alias("class"))
 
 
@@ -223,6 +227,7 @@ def keep_representatives(docs: DataFrame, similarity: float = SIMILARITY, size:
     stay or go together. An empty table stays empty. Columns of any name may come along.
     """
     classes = cut(near_classes(docs, similarity, size))
+    n = classes.count()
     stays = classes.groupBy("class").agg(F.min(F.struct("doc_id", "t")).alias("stays"), F.count("*").alias("n")).filter("n > 1").select("class", "stays")
     gone = classes.join(dealt_anew(stays, "class"), "class").filter(F.struct("doc_id", "t") != F.col("stays")).select("doc_id", "t")
-    return drop_rows(docs, gone)
+    return drop_rows(docs, gone, bound=n)

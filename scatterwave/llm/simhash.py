@@ -207,16 +207,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
     """
     fps = cut(fingerprints(docs))
     named = fps.filter("doc_id IS NOT NULL").withColumn("id", F.col("doc_id").cast("long"))
-    classes = cut(named.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    rows = fps.count()
+    classes = cut(named.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), rows)
     links = link_classes(classes.select("fp", "rep"), radius, shard_rows)
     # A document with several fingerprints ties its classes together.
-    repeated = cut(named.groupBy("id").agg(F.count_distinct("fp").alias("k")).filter("k > 1").select("id"))
+    repeated = cut(named.groupBy("id").agg(F.count_distinct("fp").alias("k")).filter("k > 1").select("id"), rows)
     several = named.select("id", "fp").join(broadcast_if_small(repeated, repeated.count()), "id", "left_semi")
     ties = several.distinct().join(classes.select("fp", "rep"), "fp").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    found = cut(connected_components(links.unionByName(ties)))
+    found = cut(connected_components(links.unionByName(ties), 2 * rows), 2 * rows)
     total = classes.agg(F.sum("n")).first()[0] or 0
     values = classes.join(dealt_anew(found, "node"), classes["rep"] == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = join_back(named, cut(values), "fp", total).select("doc_id", "fp", "component_id")
+    out = join_back(named, cut(values, rows), "fp", total).select("doc_id", "fp", "component_id")
     return out.unionByName(fps.filter("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
