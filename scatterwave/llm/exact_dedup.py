@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scatterwave.llm.common import dealt_anew, drop_rows, fresh, join_back, whole_text
-from scatterwave.runtime import cut, scratch_path, ship
+from scatterwave.runtime import cut, delete_path, scratch_path, ship
 
 #: Slots of the filter for each row, and those of one shard of it (a bit each: 64 MiB). Larger corpora have more shards.
 SLOTS_PER_ROW, SHARD_SLOTS = 16, 2**29
@@ -95,11 +97,13 @@ def decide(docs: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
         rows.withColumn("shard", F.pmod(F.xxhash64("sha", F.lit(2)), F.lit(shards))).write.partitionBy("shard").parquet(path)
         whole = spark.read.parquet(path)
         parts = [whole.filter(F.col("shard") == k).drop("shard") for k in range(shards)]
-    out = scratch_path(spark, "marked")
+    tested = []
     for part in parts:
         test = _maybe_repeated(spark, repeated_filter(part, slots), slots)
-        part.select("doc_id", "sha", "row", test("h1", "h2").alias("maybe")).write.mode("append").parquet(out)
-    marked = spark.read.schema(rows.select("doc_id", "sha", "row", F.lit(True).alias("maybe")).schema).parquet(out)
+        tested.append(cut(part.select("doc_id", "sha", "row", test("h1", "h2").alias("maybe"))))
+    if shards > 1:
+        delete_path(spark, path)
+    marked = reduce(DataFrame.unionByName, tested)
     unique = marked.filter("NOT maybe").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     rest = marked.filter("maybe").select("doc_id", "sha", "row")
 
