@@ -1,6 +1,6 @@
 """Line dedup, all in DataFrame functions: winnowing over line hashes, and removal of later repeated runs.
 
-Lines are compared lower-cased and trimmed, by 128 bits of hash; blank lines are neither compared nor removed on their
+Lines are compared lower-cased, without blanks, tabs and returns at their ends, by 128 bits of hash; blank lines are neither compared nor removed on their
 own. A run is ``WINDOW`` or more consecutive lines, or fewer that have ``LONG`` words together. A run is repeated if the
 same lines stand, in the same order, earlier: in a document of smaller doc_id (a null id is the smallest), or above in
 the same one. Repeated runs are removed at their full length, and the first occurrence stays.
@@ -25,14 +25,20 @@ BROADCAST_RUNS = 1_000_000
 
 
 def _plain(line: Column) -> Column:
-    return F.lower(F.trim(F.translate(line, "\t\r", "  ")))
+    return F.lower(F.btrim(line, F.lit(" \t\r")))
+
+
+def _words(line: Column) -> Column:
+    """Words of a trimmed line that blanks part; only lines with two blanks side by side need to be split for it."""
+    single = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.when(F.instr(line, "  ") > 0, F.size(F.split(line, " +"))).otherwise(single)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, t`` (hash of the text), and of its lines that are not blank ``a, b`` (two hashes) and ``w`` (words)."""
     texts = docs.select("doc_id", whole_text().alias("text")).filter(F.length("text") > 0)
     full = F.filter(F.transform(F.split("text", "\n"), _plain), lambda x: x != "")
-    lines = F.transform(full, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), F.size(F.split(x, " +")).alias("w")))
+    lines = F.transform(full, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), _words(x).alias("w")))
     return texts.select("doc_id", F.xxhash64("text").alias("t"), lines.alias("x")).select("doc_id", "t", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.w").alias("w"))
 
 
@@ -61,12 +67,12 @@ def matches(docs: DataFrame) -> DataFrame:
     others. Matches that go on along the same pair of texts are extended to both ends of the run. Frequent lines
     are counted map-side and joined by equi-joins that Spark can split.
     """
-    lines = _lines(docs)
-    marked = F.filter(F.transform(F.sequence(F.lit(0), F.size("a") - 1), lambda j: F.struct(j.alias("p"), _seeds(j).alias("seeds"))), lambda s: s["seeds"] > 0)
-    chosen = lines.filter(F.size("a") > 0).select("doc_id", "t", "a", "b", F.explode(marked).alias("s")).select("doc_id", "t", "a", "b", "s.p", "s.seeds")
+    # Lines are exploded beside their arrays, never copied, and told apart by generated code.
+    lines = _lines(docs).select("doc_id", "t", "a", "b", "w", F.posexplode("a").alias("p", "f"))
+    chosen = lines.withColumn("seeds", _seeds(F.col("p"))).filter("seeds > 0")
     left = F.greatest(F.col("p") - (WINDOW - 1), F.lit(0))
     around = [F.slice(c, left + 1, 2 * WINDOW - 1).alias(c) for c in ("a", "b")]
-    prints = cut(chosen.select("doc_id", "t", "p", (F.col("p") - left).alias("mid"), "seeds", F.get("a", F.col("p")).alias("f"), *around).distinct())
+    prints = cut(chosen.select("doc_id", "t", "p", (F.col("p") - left).alias("mid"), "seeds", "f", *around).distinct())
     often = prints.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
     kept = prints.join(dealt_anew(often, "f"), "f", "left_semi")
 
@@ -132,7 +138,7 @@ def digest(docs: DataFrame) -> DataFrame:
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, unnest(ls) AS raw, unnest(range(len(ls))) AS ln FROM d),
-l AS (SELECT doc_id, ln, lower(trim(translate(raw, chr(9) || chr(13), '  '))) AS x FROM e),
+l AS (SELECT doc_id, ln, lower(trim(raw, ' ' || chr(9) || chr(13))) AS x FROM e),
 f AS (SELECT *, len(string_split_regex(x, ' +')) AS w, lead(x) OVER o AS x2, lead(ln) OVER o AS ln2, lead(x, 2) OVER o AS x3, lead(ln, 2) OVER o AS ln3 FROM l WHERE x <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY ln)),
 r AS (SELECT doc_id, ln AS first, ln3 AS last, x || chr(10) || x2 || chr(10) || x3 AS run FROM f WHERE x3 IS NOT NULL
       UNION ALL SELECT doc_id, ln, ln2, x || chr(10) || x2 FROM f WHERE x2 IS NOT NULL AND w + len(string_split_regex(x2, ' +')) >= {LONG}
