@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 from scatterwave.runtime import broadcast_if_small, cut
 
 
+SLICE_ROWS = 1_000
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no learner sees: crc32 of the id as text is a multiple of five. A null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
@@ -67,17 +70,23 @@ def drop_rows(docs: DataFrame, gone: DataFrame, key: Column | None = None, name:
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(columns: dict of lists) -> dict of lists or arrays`` over each Arrow batch; columns take the schema's types."""
+    """``fn(columns: dict of lists) -> dict of lists or arrays`` over slices of Arrow batches; columns take the schema's types."""
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(batch.to_pydict()), schema=kinds)
+            for own in slices(batch):
+                yield pa.RecordBatch.from_pydict(fn(own.to_pydict()), schema=kinds)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch):
+    """A batch in slices of ``SLICE_ROWS``, so that no worker holds more whole texts as Python objects."""
+    for i in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(i, SLICE_ROWS)
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over the edges a-b."""
     parent = np.arange(n)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scatterwave.llm.common import arrow_map, held_out
+from scatterwave.llm.common import arrow_map, held_out, slices
 from scatterwave.runtime import broadcast_if_small, ship
 
 SLOTS = 2**13
@@ -114,7 +114,7 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         import pyarrow as pa
 
         total, n = np.zeros(SLOTS, np.int64), 0
-        for batch in batches:
+        for batch in (own for b in batches for own in slices(b)):
             for text in batch.column("text").to_pylist():
                 counts = ngram_counts(text)
                 if counts is not None:

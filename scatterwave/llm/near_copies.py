@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from scatterwave.llm.common import arrow_map, dealt_anew, drop_rows, whole_text
+from scatterwave.llm.common import arrow_map, dealt_anew, drop_rows, slices, whole_text
 from scatterwave.llm.components import connected_components
 from scatterwave.llm.simhash import shingle_hashes, simhash, tree_links
 from scatterwave.runtime import broadcast_if_small, cut, ship
@@ -48,7 +48,7 @@ def shingle_counts(rows: DataFrame, size: int, slots: int) -> np.ndarray:
         import pyarrow as pa
 
         total = np.zeros(slots, np.int64)
-        for batch in batches:
+        for batch in (own for b in batches for own in slices(b)):
             for text in batch.column("text").to_pylist():
                 np.add.at(total, shingle_set(text, size) & (slots - 1), 1)
         at = np.flatnonzero(total)

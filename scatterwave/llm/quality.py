@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scatterwave.llm.common import arrow_map, fresh, held_out
+from scatterwave.llm.common import arrow_map, fresh, held_out, slices
 from scatterwave.runtime import ship
 
 WORD_SLOTS = 2**14
@@ -168,9 +168,9 @@ def score(docs: DataFrame, model: Model, carry: list[str], name: str = "score")
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (own for b in batches for own in slices(b)):
             texts = batch.column("text").to_pylist()
-            scores = np.concatenate([held.value.score([features(t, slots) for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)]) if texts else np.zeros(0)
+            scores = np.concatenate([held.value.score([features(t, slots) for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)])
             columns = [batch.column(c) for c in carry]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*carry, name])
 
