@@ -22,6 +22,7 @@ from scatterwave.operators.spread import bin_histogram, bin_offsets, bin_sorted,
 from scatterwave.operators.validate import violations
 from scatterwave.plans import arrays, sql
 from scatterwave.plans.plan import AutoBoundsType3, Plan
+from scatterwave.runtime import broadcast_if_small
 from scatterwave.sources.tables import event_points, lineitem_points, table
 from scatterwave.streaming.type1 import type1_stream
 
@@ -95,7 +96,7 @@ def _typed_events(spark, sf_dir):
 
     points = event_points(spark, sf_dir).drop("transform_id")
     kinds = points.select("event_type").distinct().withColumn("transform_id", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))
-    return points.join(F.broadcast(kinds), "event_type"), kinds
+    return points.join(broadcast_if_small(kinds, kinds.count()), "event_type"), kinds
 
 
 def t1_batch_by_event_type(spark, sf_dir):
