@@ -28,7 +28,6 @@ RADIUS = 19
 SLOTS = 2**17
 #: Members of a block that one search holds at a time, and rows of small blocks that share a task.
 CHUNK, TASK_ROWS = 2_048, 50_000
-LINEAR_ROUNDS = 2
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -140,22 +139,25 @@ def _blocked(members: DataFrame, chunk: int) -> DataFrame:
 
 
 def _first_met(members: DataFrame, share: Fraction, radius: int) -> DataFrame:
-    """Pairs ``a, b``, one at most for each member: the closest of the earliest members that its blocks offer from another component.
+    """Pairs ``a, b``, two at most for each member: the closest of the first, and of the second, members of its blocks.
 
-    The earliest member is the one in which fewest rarer shingles stand before the block's own, usually the original
-    of edited copies. Members of its component meet the earliest one of any other.
+    First is the one in which fewest rarer shingles stand before the block's own, usually the original of edited copies.
     """
     p, q = share.numerator, share.denominator
-    own = F.struct("at", "sig", "k", "fp", "comp")
-    early = members.groupBy("h").agg(F.min(own).alias("x"))
-    with_x = members.join(dealt_anew(early, "h"), "h")
-    other = with_x.filter(F.col("comp") != F.col("x.comp")).groupBy("h").agg(F.min(own).alias("y"))
-    both = with_x.join(dealt_anew(other, "h"), "h").withColumn("lead", F.when(F.col("comp") == F.col("x.comp"), F.col("y")).otherwise(F.col("x")))
-    rest = F.least(F.col("k") - F.col("at"), F.col("lead.k") - F.col("lead.at"))  # the shared shingle and what may follow it
-    possible = (rest * (p + q) >= p * (F.col("k") + F.col("lead.k"))) & (F.col("k") * q >= p * F.col("lead.k")) & (F.col("lead.k") * q >= p * F.col("k"))
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp")))
-    best = both.filter(possible & (bits <= radius)).groupBy("sig").agg(F.min(F.struct(bits.alias("bits"), F.col("lead.sig").alias("to"))).alias("best"))
-    return best.select(F.least("sig", "best.to").alias("a"), F.greatest("sig", "best.to").alias("b")).distinct()
+    own = F.struct("at", "sig", "k", "fp")
+    with_x = members.join(dealt_anew(members.groupBy("h").agg(F.min(own).alias("x")), "h"), "h")
+    second = with_x.filter(F.col("sig") != F.col("x.sig")).groupBy("h").agg(F.min(own).alias("y"))
+    both = with_x.join(dealt_anew(second, "h"), "h")
+
+    def met(lead: str):
+        rest = F.least(F.col("k") - F.col("at"), F.col(f"{lead}.k") - F.col(f"{lead}.at"))  # the shared shingle and what may follow it
+        sizes = (F.col("k") * q >= p * F.col(f"{lead}.k")) & (F.col(f"{lead}.k") * q >= p * F.col("k"))
+        bits = F.bit_count(F.col("fp").bitwiseXOR(F.col(f"{lead}.fp")))
+        fits = (F.col("sig") != F.col(f"{lead}.sig")) & (rest * (p + q) >= p * (F.col("k") + F.col(f"{lead}.k"))) & sizes & (bits <= radius)
+        return F.min(F.when(fits, F.struct(bits.alias("bits"), F.col(f"{lead}.sig").alias("to")))).alias(lead)
+
+    best = both.groupBy("sig").agg(met("x"), met("y")).select("sig", F.explode(F.array("x.to", "y.to")).alias("to")).filter("to IS NOT NULL")
+    return best.select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b")).distinct()
 
 
 def _merged(comps: DataFrame | None, links: DataFrame, n: int) -> DataFrame:
@@ -176,8 +178,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
 
     Under any one order of all shingles, sets x and y as similar as s share one of their first |x| - ceil(s |x|) + 1 and
     |y| - ceil(s |y|) + 1 shingles. The order is rare ones first, by counts over all documents; documents that share
-    such a shingle form a block. Equal sets are one class from the start. Then, twice, every member of a block meets
-    one early member of another component: work linear in the block. Blocks that still hold several components are
+    such a shingle form a block. Equal sets are one class from the start. Then every member meets the first and the second
+    member of one of its blocks each: work linear in the blocks. Blocks that still hold several components are
     searched by vantage-point trees, and only pairs across components leave them. All pairs are checked on whole
     sets, so a link is never wrong; a similar pair is missed only where its fingerprints differ in more than ``radius``
     bits (about 0.1 % of pairs at a similarity of just 0.8).
@@ -198,12 +200,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
 
     index = one.select("sig", "k", "fp", F.posexplode("first").alias("at", "h"))
     often = cut(index.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), 20 * n)
-    members = cut(index.join(broadcast_if_small(often, often.count()), "h", "left_semi"))
-    comps = None
-    for _ in range(LINEAR_ROUNDS):
-        marked = _marked(members, comps)
-        pairs = cut(_first_met(marked, share, radius), n)
-        comps = _merged(comps, _verified(pairs, pairs.count(), rows, homes, share, size), n)
+    members = cut(index.join(broadcast_if_small(often, often.count(), 500_000), "h", "left_semi"))
+    pairs = cut(_first_met(members, share, radius), 2 * n)
+    comps = _merged(None, _verified(pairs, pairs.count(), rows, homes, share, size), n)
     marked = cut(_marked(members, comps))
     mixed = marked.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
     left = cut(marked.join(dealt_anew(mixed, "h"), "h", "left_semi"), marked.count(), 200_000)
