@@ -123,7 +123,7 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["slot", "n"])
 
-    df = rows.select("text").mapInArrow(frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS + 1 rows at most
+    df = rows.select("text").mapInArrow(frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # SLOTS + 1 rows at most
     n = int(df.loc[df["slot"] == -1, "n"].sum())
     count = np.zeros(SLOTS)
     own = df[df["slot"] >= 0]
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         kinds = {"doc_id": pa.int64(), "lang": pa.string(), "at": pa.binary(), "n": pa.binary()}
         return {c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())}
 
-    got = arrow_map(sample.select("doc_id", "lang", "text"), vectors, "doc_id long, lang string, at binary, n binary").toPandas()
+    got = arrow_map(sample.select("doc_id", "lang", "text"), vectors, "doc_id long, lang string, at binary, n binary").toArrow().to_pandas()
     names, centers, limits = [], [np.zeros((0, SLOTS), np.float32)], []
     for lang, part in got.groupby("lang", sort=True):
         part = part.sort_values(["doc_id", "at", "n"])

@@ -53,7 +53,7 @@ def shingle_counts(rows: DataFrame, size: int, slots: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    got = rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out = np.zeros(slots, np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out

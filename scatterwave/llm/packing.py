@@ -82,7 +82,7 @@ class Bucket:
 
 def plan_buckets(sized: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> list[Bucket]:
     """Histogram of all rows, then the boundaries. D distinct lengths sum to at least D^2 / 2, so a corpus of T tokens has at most sqrt(2 T)."""
-    histogram = sized.groupBy("size").count().toPandas().sort_values("size")
+    histogram = sized.groupBy("size").count().toArrow().to_pandas().sort_values("size")
     lengths, counts = histogram["size"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64)
     bounds = optimal_boundaries(lengths, counts, buckets)
     edges = np.searchsorted(lengths, bounds, side="right")

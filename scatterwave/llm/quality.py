@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
         return {"doc_id": batch["doc_id"], "y": np.array(batch["y"], np.float32), "at": [p[0].tobytes() for p in pairs], "value": [p[1].tobytes() for p in pairs]}
 
     got = arrow_map(joined.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text"), run, "doc_id long, y float, at binary, value binary")  # packed, as the driver holds them all
-    pdf = got.toPandas().sort_values("doc_id", kind="stable")
+    pdf = got.toArrow().to_pandas().sort_values("doc_id", kind="stable")
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(pdf["at"], pdf["value"])]
     return fit(rows, pdf["y"].to_numpy(np.float32))
 

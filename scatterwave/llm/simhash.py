@@ -172,7 +172,7 @@ def link_classes(classes: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
     ship(spark)
     n = classes.count()
     levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))))
-    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_SHARD * 2**levels).toPandas()
+    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_SHARD * 2**levels).toArrow().to_pandas()
     tree = spark.sparkContext.broadcast(build_router(sample["fp"].to_numpy(np.int64).view(np.uint64), levels))
 
     def deal(batch):
