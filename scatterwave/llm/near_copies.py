@@ -200,7 +200,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
 
     index = one.select("sig", "k", "fp", F.posexplode("first").alias("at", "h"))
     often = cut(index.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), 20 * n)
-    members = cut(index.join(broadcast_if_small(often, often.count(), 500_000), "h", "left_semi"))
+    # Only hash, class and place of each shingle are shuffled, at every size alike; few shingles are shared.
+    shared = index.select("h", "sig", "at").join(often, "h", "left_semi")
+    members = cut(shared.join(broadcast_if_small(one.select("sig", "k", "fp"), n), "sig"))
     pairs = cut(_first_met(members, share, radius), 2 * n)
     comps = _merged(None, _verified(pairs, pairs.count(), rows, homes, share, size), n)
     marked = cut(_marked(members, comps))
