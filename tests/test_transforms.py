@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from scatterwave import TransformConfig, Type3Config
 from scatterwave.operators import direct, fft, gridded, type3
 from scatterwave.operators.spread import bin_offsets, bin_histogram
@@ -168,3 +170,55 @@ def test_bins(spark):
     points = spark.createDataFrame(frame(2, 500)[2])
     out = bin_offsets(bin_histogram(points, layout_for(TransformConfig((32, 32))), 16)).orderBy("bin").toPandas()
     assert out["n"].sum() == 500 and (out["offset"] == out["n"].cumsum() - out["n"]).all()
+
+
+def all_pairs(monkeypatch, *args, **options):
+    with monkeypatch.context() as m:
+        m.setattr(direct, "_panels", lambda sources, goals: None)
+        return direct.type3(*args, **options).toPandas()
+
+
+def test_direct_type_3_of_many_targets_does_not_form_all_pairs(spark, monkeypatch):
+    """20,000 sources and 300,000 targets would be 6 billion pairs; every target has its value all the same."""
+    made = []
+    pairs = direct._pairs
+    monkeypatch.setattr(direct, "_pairs", lambda data, goals, *rest: made.append(goals.count()) or pairs(data, goals, *rest))
+    src = spark.range(20_000).selectExpr("id AS point_id", "(id * 7919 % 1000003) / 91000D - 1 AS x0", "1D AS re", "0D AS im")
+    goals = spark.range(300_000).selectExpr("id AS target_id", "(id * 104729 % 1000003) / 45000D - 2 AS s0")
+    out = direct.type3(src, src, goals, Type3Config([(-1, 10)], [(-2, 21)])).toPandas()
+    assert len(made) == 1 and made[0] < 1_000 and len(out) == out["target_id"].nunique() == 300_000
+    out, x = out.set_index("target_id"), src.toPandas()["x0"].to_numpy()
+    some = goals.filter("target_id % 9001 = 0 OR s0 = -2 OR s0 > 20.222").toPandas()
+    truth = np.array([np.exp(1j * s * x).sum() for s in some["s0"]])
+    got = out.loc[some["target_id"]]
+    assert np.abs(got["re"].to_numpy() + 1j * got["im"].to_numpy() - truth).max() / 20_000 < 1e-13
+
+
+@pytest.mark.parametrize("sign,x_lo,x_hi,s_lo,s_hi", [(1, -1, 10, -2, 20), (-1, 1e4, 1e4 + 3, -700, -690), (1, -3, 3, 5, 5), (-1, 2, 2, -9, 9), (1, -1e-9, 1e-9, -1, 1)])
+def test_panels_equal_all_pairs(spark, sign, x_lo, x_hi, s_lo, s_hi):
+    config = Type3Config([(x_lo, x_hi)], [(s_lo, s_hi)], batch=3, isign=sign)
+    x, s = RNG.uniform(x_lo, x_hi, 900), RNG.uniform(s_lo, s_hi, 2000)
+    x[:2], s[:2] = (x_lo, x_hi), (s_lo, s_hi)
+    c = RNG.normal(size=(2, 900)) + 1j * RNG.normal(size=(2, 900))
+    src = spark.createDataFrame(pd.DataFrame({"point_id": np.arange(900), "x0": x}))
+    values = spark.createDataFrame(pd.concat([pd.DataFrame({"transform_id": t, "point_id": np.arange(900), "re": c[t].real, "im": c[t].imag}) for t in range(2)]))
+    goals = spark.createDataFrame(pd.DataFrame({"target_id": np.arange(2000), "s0": s}))
+    assert direct._panels(src, goals)
+    out = cube(direct.type3(src, values, goals, config), "target_id", 3, 2000)
+    assert np.abs(out[:2] - c @ np.exp(1j * sign * np.outer(x, s))).max() / np.abs(c).sum() < (1e-13 if x_hi < 100 else 1e-10)
+    assert (out[2] == 0).all()
+    ordered = [cube(direct.type3(src, values.repartition(n), goals.repartition(n), config, deterministic=True), "target_id", 3, 2000) for n in (1, 5)]
+    assert (ordered[0] == ordered[1]).all() and np.abs(ordered[0] - out).max() < 1e-11
+
+
+def test_panels_take_odd_rows_as_all_pairs_do(spark, monkeypatch):
+    """Targets beyond the configured bounds, repeated ids, nulls, NaN and infinities."""
+    config = Type3Config([(0, 1)], [(0, 1)])
+    src = spark.range(500).selectExpr("id AS point_id", "IF(id = 3, NULL, id / 100D) AS x0", "1D AS re", "IF(id = 4, NULL, 0D) AS im")
+    goals = spark.range(700).selectExpr("id DIV 2 AS target_id", "CASE id WHEN 20 THEN NULL WHEN 30 THEN double('NaN') WHEN 40 THEN double('inf') WHEN 50 THEN double('-inf') ELSE id / 50D - 3 END AS s0")
+    worse = src.withColumn("x0", F.expr("IF(point_id = 9, double('NaN'), x0)"))
+    for own in (src, worse):
+        assert direct._panels(own, goals)
+        a, b = (d.sort_values("target_id") for d in (direct.type3(own, own, goals, config).toPandas(), all_pairs(monkeypatch, own, own, goals, config)))
+        assert len(a) == len(b) == 350 and a[["re", "im"]].isna().sum().tolist() == b[["re", "im"]].isna().sum().tolist()
+        assert np.allclose(a.to_numpy(float), b.to_numpy(float), atol=1e-10, equal_nan=True)
